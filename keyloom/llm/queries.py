@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import decontaminate, url_filter
-from keyloom.llm.common import table
+from keyloom.llm import decontaminate, token_store, url_filter
+from keyloom.llm.common import Workspace, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,10 +16,18 @@ def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.outcomes_of(table(spark, sf_dir, "labels")))
 
 
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    root = Workspace(spark, "tokens").root
+    manifest = token_store.write(table(spark, sf_dir, "documents"), root, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_store.read_back(spark, root, manifest)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_reputation, op8_decontaminate)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_reputation, op7_token_store, op8_decontaminate)}
 
 ORACLE: dict[str, str] = {}
