@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import decontaminate, token_store, url_filter
+from keyloom.llm import decontaminate, language_id, token_store, url_filter
 from keyloom.llm.common import Workspace, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_reputation, op7_token_store, op8_decontaminate)}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.learn(docs))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_reputation, op7_token_store, op8_decontaminate, op9_language_id)}
 
 ORACLE: dict[str, str] = {}
