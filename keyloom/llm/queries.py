@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import decontaminate, language_id, token_store, url_filter
+from keyloom.llm import decontaminate, language_id, near_dup, token_store, url_filter
 from keyloom.llm.common import Workspace, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.outcomes_of(table(spark, sf_dir, "labels")))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -33,6 +37,6 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.learn(docs))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_reputation, op7_token_store, op8_decontaminate, op9_language_id)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_reputation, op3_near_duplicates, op7_token_store, op8_decontaminate, op9_language_id)}
 
 ORACLE: dict[str, str] = {}
