@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import decontaminate, language_id, near_dup, token_store, url_filter
+from keyloom.llm import decontaminate, language_id, near_dup, sentence_spans, token_store, url_filter
 from keyloom.llm.common import Workspace, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.learn(docs))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_reputation, op3_near_duplicates, op7_token_store, op8_decontaminate, op9_language_id)}
+def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_reputation, op3_near_duplicates, op7_token_store, op8_decontaminate, op9_language_id, op10_sentence_spans)}
 
 ORACLE: dict[str, str] = {}
