@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import decontaminate, language_id, near_dup, sentence_spans, token_store, url_filter
+from keyloom.llm import decontaminate, language_id, near_dup, pii, sentence_spans, token_store, url_filter
 from keyloom.llm.common import Workspace, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,11 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.learn(docs))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -41,6 +46,6 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_reputation, op3_near_duplicates, op7_token_store, op8_decontaminate, op9_language_id, op10_sentence_spans)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_reputation, op3_near_duplicates, op4_pii, op7_token_store, op8_decontaminate, op9_language_id, op10_sentence_spans)}
 
 ORACLE: dict[str, str] = {}
