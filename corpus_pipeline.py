@@ -1,11 +1,57 @@
-"""Language ID, near-dedup, decontamination, PII and packing, in this order, over documents."""
+"""Language ID, near-dedup, benchmark decontamination, PII and packing, in this order, over whole documents.
 
-STAGES = []
+Each stage takes the documents its predecessor kept. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from keyloom.llm import decontaminate, language_id, near_dup, packing, pii
+from keyloom.llm.common import Workspace, table
+
+#: Documents whose language is not clearly any learnt one go. With four languages even chance would score 0.25.
+LEAST_SCORE = 0.4
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or in no learnt language, go."""
+    network = language_id.learn(docs)
+    return docs if network is None else language_id.keep_identified(docs, network, LEAST_SCORE)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, that with the smallest doc_id."""
+    return near_dup.keep_one(docs)
+
+
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with windows of two benchmark items or more go; hit words are cut from the others."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind in brackets."""
+    return pii.redact(docs, pii.learn(docs))
+
+
+def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in bins."""
+    return packing.pack(docs)
+
+
+STAGES = [("language_id", identify_language), ("near_dedup", drop_near_duplicates), ("decontaminate", remove_benchmark), ("pii", redact_pii), ("packing", pack_bins)]
+
+#: Learnt models and packing have no SQL form; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; each result is written to the shared folder and read again as the next stage's documents."""
+    work = Workspace(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = work.stage(stage(spark, docs, sf_dir), name)
+        if k:
+            work.drop(STAGES[k - 1][0])
     return docs

@@ -38,6 +38,7 @@ from keyloom.llm.common import mix64, small_batches, texts
 
 M64 = (1 << 64) - 1
 NO_POSITION = 0xFFFFFFFF
+BAR = "|"
 
 
 def _mix(x: int) -> int:
@@ -132,6 +133,9 @@ class WordEncoder:
         self.tokenizer, self.bound = Tokenizer.from_file(path), bound
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.known: dict[str, bytes] = {"": b""}
+        # a bar between blanks is one id that no piece without a bar gives; many new pieces are encoded as one text, cut at bars
+        bar = self.tokenizer.encode(BAR, add_special_tokens=False).ids
+        self.bar = bar[0] if len(bar) == 1 else None
 
     def __call__(self, text: str) -> bytes:
         pieces = text.replace("\n", " ").split(" ")
@@ -142,8 +146,18 @@ class WordEncoder:
             if len(known) > self.bound:
                 known = self.known = {"": b""}
             new = list({w for w in pieces if w not in known})
-            packed = [struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids) for ids in (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))]
-            known.update(zip(new, packed, strict=True))
+            plain = [w for w in new if BAR not in w]
+            if self.bar is None:
+                plain = []
+            for k in range(0, len(plain), 256):
+                some = plain[k : k + 256]
+                ids = np.array(self.tokenizer.encode_batch_fast([f" {BAR} ".join(some)], add_special_tokens=False)[0].ids, dtype=f"<u{self.width}")
+                raw = ids.tobytes()
+                cuts = (np.flatnonzero(ids == self.bar) * self.width).tolist()
+                known.update(zip(some, [raw[a:b] for a, b in zip([0, *(c + self.width for c in cuts)], [*cuts, len(raw)], strict=True)], strict=True))
+            if odd := [w for w in new if w not in known]:
+                for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+                    known[w] = np.array(e.ids, dtype=f"<u{self.width}").tobytes()
             return b"".join([known[w] for w in pieces])
 
 
