@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import decontaminate, language_id, near_dup, packing, pii, sentence_spans, token_store, url_filter
+from keyloom.llm import decontaminate, html_text, language_id, near_dup, packing, pii, sentence_spans, token_store, url_filter
 from keyloom.llm.common import Workspace, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.outcomes_of(table(spark, sf_dir, "labels")))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,6 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_reputation, op3_near_duplicates, op4_pii, op5_best_fit, op7_token_store, op8_decontaminate, op9_language_id, op10_sentence_spans)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_reputation, op2_main_text, op3_near_duplicates, op4_pii, op5_best_fit, op7_token_store, op8_decontaminate, op9_language_id, op10_sentence_spans)}
 
 ORACLE: dict[str, str] = {}
