@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import decontaminate, html_text, language_id, near_dup, packing, pii, sentence_spans, token_store, url_filter
+from keyloom.llm import decontaminate, html_text, inner_product, language_id, near_dup, packing, pii, sentence_spans, token_store, url_filter
 from keyloom.llm.common import Workspace, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,11 @@ def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_inner_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return inner_product.search(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,6 +59,6 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_reputation, op2_main_text, op3_near_duplicates, op4_pii, op5_best_fit, op7_token_store, op8_decontaminate, op9_language_id, op10_sentence_spans)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_reputation, op2_main_text, op3_near_duplicates, op4_pii, op5_best_fit, op6_inner_product, op7_token_store, op8_decontaminate, op9_language_id, op10_sentence_spans)}
 
 ORACLE: dict[str, str] = {}
