@@ -1,4 +1,376 @@
-"""Registered queries over the given tables, each with its SQL."""
+"""Registered queries over the given tables, each with SQL that another engine runs on the same tables.
 
-QUERIES = {}
-ORACLE = {}
+The log of most queries comes from events: the key is a digest of user_id, seq is event_id, the value joins key, type and properties.
+Inside, keys are BINARY; results show them as upper-case hex.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keyloom.functions import codec
+from keyloom.functions.routing import hash_partition, shard_of
+from keyloom.operators import checks, recovery, shared, views
+from keyloom.operators.store import Store
+from keyloom.plans import workload
+from keyloom.sources import raw
+from keyloom.streaming import latest as streaming
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+LOW, HIGH = bytes.fromhex("4000000000000000"), bytes.fromhex("8000000000000000")
+
+#: The log in SQL, and its latest view.
+SQL_LOG = "WITH log AS (SELECT upper(substr(md5(CAST(user_id AS VARCHAR)), 1, 16)) AS k, event_id AS seq, concat(upper(substr(md5(CAST(user_id AS VARCHAR)), 1, 16)), '|', event_type, '|', props) AS v FROM events), "
+SQL_LATEST = SQL_LOG + "latest AS (SELECT k, max(seq) AS seq, arg_max(v, seq) AS v FROM log GROUP BY k) "
+SQL_SHARD = "(CAST(concat('0x', substr(k, 1, 4)) AS INTEGER) >> 6)"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = codec.digest_key("user_id")
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "props").withColumn("key", key)
+    return rows.select("key", F.col("event_id").alias("seq"), F.concat(F.hex("key"), F.lit("|"), "event_type", F.lit("|"), "props").alias("value"))
+
+
+def asked_keys(spark: SparkSession, sf_dir: str, most: int = 400) -> DataFrame:
+    """Keys to look up: customers below a number, some of whom have events."""
+    return table(spark, sf_dir, "customer").filter(F.col("c_custkey") < most).select(codec.digest_key("c_custkey").alias("key"))
+
+
+def rows_of(view: DataFrame) -> DataFrame:
+    """k, seq, v (and pos, if there)."""
+    return view.select(F.hex("key").alias("k"), "seq", F.col("value").alias("v"), *(["pos"] if "pos" in view.columns else []))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own for a store: below the shared folder the session names, or temporary where it names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='keyloom-')}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query(SQL_LATEST + "SELECT k, seq, v FROM latest")
+def kv_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows_of(views.latest(events_log(spark, sf_dir)))
+
+
+@query(SQL_LATEST + "SELECT k, seq FROM latest")
+def kv_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.index(events_log(spark, sf_dir)).select(F.hex("key").alias("k"), "seq")
+
+
+@query(SQL_LATEST + "SELECT k, seq, v FROM latest")
+def kv_latest_by_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows_of(views.latest_by_join(events_log(spark, sf_dir)))
+
+
+@query(SQL_LOG.rstrip(", ") + " SELECT k, seq, v FROM log")
+def kv_index_trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows_of(views.trusted(events_log(spark, sf_dir)))
+
+
+@query(SQL_LATEST + "SELECT k, seq, v FROM latest WHERE k = upper(substr(md5('8'), 1, 16))")
+def kv_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import hashlib
+
+    return rows_of(views.get(views.latest(events_log(spark, sf_dir)), hashlib.md5(b"8").digest()[:8]))
+
+
+@query(SQL_LATEST + "SELECT count(*) AS n FROM latest WHERE k = '0000000000000000'")
+def kv_get_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.get(views.latest(events_log(spark, sf_dir)), bytes(8)).agg(F.count("*").alias("n"))
+
+
+SQL_ASKED = "asked AS (SELECT DISTINCT upper(substr(md5(CAST(c_custkey AS VARCHAR)), 1, 16)) AS k FROM customer WHERE c_custkey < 400) "
+
+
+@query(SQL_LATEST + ", " + SQL_ASKED + "SELECT a.k, l.seq, l.v, CAST(l.seq IS NOT NULL AS BIGINT) AS found FROM asked a LEFT JOIN latest l ON a.k = l.k")
+def kv_multi_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = views.multi_get(views.latest(events_log(spark, sf_dir)), asked_keys(spark, sf_dir))
+    return found.select(F.hex("key").alias("k"), "seq", F.col("value").alias("v"), "found")
+
+
+@query(SQL_LATEST + ", " + SQL_ASKED + "SELECT count(*) AS asked, CAST(count(l.k) AS BIGINT) AS hits, CAST(count(*) - count(l.k) AS BIGINT) AS misses FROM asked a LEFT JOIN latest l ON a.k = l.k")
+def kv_hit_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.hit_count(views.multi_get(views.latest(events_log(spark, sf_dir)), asked_keys(spark, sf_dir)))
+
+
+@query(SQL_LATEST + ", " + SQL_ASKED + "SELECT a.k FROM asked a SEMI JOIN latest l ON a.k = l.k")
+def kv_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.found(views.index(events_log(spark, sf_dir)), asked_keys(spark, sf_dir).distinct()).select(F.hex("key").alias("k"))
+
+
+@query(SQL_LATEST + ", " + SQL_ASKED + "SELECT a.k FROM asked a ANTI JOIN latest l ON a.k = l.k")
+def kv_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.missing(views.index(events_log(spark, sf_dir)), asked_keys(spark, sf_dir).distinct()).select(F.hex("key").alias("k"))
+
+
+def _ranged(spark: SparkSession, sf_dir: str, lower: bytes | None, upper: bytes | None) -> DataFrame:
+    view = views.latest(events_log(spark, sf_dir))
+    return rows_of(views.positioned(views.range_scan(view, lower, upper)))
+
+
+def _range_sql(where: str) -> str:
+    return SQL_LATEST + f"SELECT k, seq, v, CAST(row_number() OVER (ORDER BY k) - 1 AS BIGINT) AS pos FROM latest WHERE {where}"
+
+
+@query(_range_sql("k >= '4000000000000000' AND k < '8000000000000000'"))
+def kv_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranged(spark, sf_dir, LOW, HIGH)
+
+
+@query(_range_sql("k >= '8000000000000000'"))
+def kv_range_from(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranged(spark, sf_dir, HIGH, None)
+
+
+@query(_range_sql("k < '8000000000000000'"))
+def kv_range_to(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranged(spark, sf_dir, None, HIGH)
+
+
+@query(_range_sql("true"))
+def kv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranged(spark, sf_dir, None, None)
+
+
+@query(SQL_LATEST + "SELECT count(*) AS n FROM latest WHERE k >= '8000000000000000' AND k < '4000000000000000'")
+def kv_range_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.latest(events_log(spark, sf_dir)).filter((F.col("key") >= F.lit(HIGH)) & (F.col("key") < F.lit(LOW))).agg(F.count("*").alias("n"))
+
+
+@query(SQL_LOG.rstrip(", ") + f" SELECT CAST({SQL_SHARD} AS BIGINT) AS shard, count(*) AS records, count(*) * 12 AS log_bytes, count(*) * 4096 AS value_bytes FROM log GROUP BY 1")
+def kv_shard_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.shard_stats(events_log(spark, sf_dir))
+
+
+@query(SQL_LATEST + "SELECT CAST(CASE WHEN b > 127 THEN 256 - b ELSE b END % 16 AS BIGINT) AS part, count(*) AS n FROM (SELECT CAST(concat('0x', substr(k, 1, 2)) AS INTEGER) AS b FROM latest) GROUP BY 1")
+def kv_hash_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.partition_counts(views.latest(events_log(spark, sf_dir)), 16)
+
+
+@query(SQL_LOG.rstrip(", ") + f" SELECT k, CAST({SQL_SHARD} AS BIGINT) AS shard, seq AS event_id, CAST(row_number() OVER (PARTITION BY {SQL_SHARD} ORDER BY seq) - 1 AS BIGINT) AS seq, CAST((row_number() OVER (PARTITION BY {SQL_SHARD} ORDER BY seq) - 1) * 4096 AS BIGINT) AS byte_offset FROM log")
+def kv_seq_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events_log(spark, sf_dir).select("key", F.col("seq").alias("event_id"))
+    return views.sequenced(rows, "event_id").select(F.hex("key").alias("k"), "shard", "event_id", "seq", F.col("offset").alias("byte_offset"))
+
+
+@query(SQL_LOG.rstrip(", ") + " SELECT count(*) AS \"rows\", count(DISTINCT k) AS live, count(*) - count(DISTINCT k) AS shadowed FROM log")
+def kv_dedup_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.dedup_stats(events_log(spark, sf_dir))
+
+
+VISITORS = [
+    shared.Visitor("all", None, None, {"n": F.count_if, "max_seq": lambda inside: F.max(F.when(inside, F.col("seq")))}),
+    shared.Visitor("low", None, HIGH, {"n": F.count_if, "bytes": lambda inside: F.coalesce(F.sum(F.when(inside, F.octet_length("value"))), F.lit(0)).cast("bigint")}),
+    shared.Visitor("mid", LOW, bytes.fromhex("C000000000000000"), {"n": F.count_if, "first": lambda inside: F.min(F.when(inside, F.hex("key")))}),
+]
+
+
+@query(
+    SQL_LATEST + "SELECT count(*) AS all_n, max(seq) AS all_max_seq, count(*) FILTER (k < '8000000000000000') AS low_n, CAST(coalesce(sum(strlen(v)) FILTER (k < '8000000000000000'), 0) AS BIGINT) AS low_bytes, "
+    "count(*) FILTER (k >= '4000000000000000' AND k < 'C000000000000000') AS mid_n, min(k) FILTER (k >= '4000000000000000' AND k < 'C000000000000000') AS mid_first FROM latest"
+)
+def kv_shared_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared.visit(views.latest(events_log(spark, sf_dir)), VISITORS)
+
+
+@query(SQL_LATEST + "SELECT CAST(count(*) FILTER (p >= k) AS BIGINT) AS violations, count(*) AS n FROM (SELECT k, lag(k) OVER (ORDER BY k) AS p FROM latest)")
+def kv_order_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.order_violations(views.positioned(views.index(events_log(spark, sf_dir))))
+
+
+@query(SQL_LATEST + "SELECT CAST(count(*) FILTER (substr(v, 1, 16) <> k) AS BIGINT) AS mismatches, count(*) AS n FROM latest")
+def kv_prefix_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of binary form that begin with the key's bytes."""
+    view = views.latest(events_log(spark, sf_dir)).select("key", F.concat(F.unhex(F.substring("value", 1, 16)), F.encode(F.substr("value", F.lit(17)), "UTF-8")).alias("value"))
+    return checks.prefix_mismatches(view)
+
+
+@query(SQL_LATEST + "SELECT CAST(count(*) FILTER (strlen(v) <> 64) AS BIGINT) AS mismatches, count(*) AS n FROM latest")
+def kv_length_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.length_mismatches(views.latest(events_log(spark, sf_dir)), 64)
+
+
+@query(SQL_LATEST + "SELECT CAST(pos // 16 AS BIGINT) AS page, k FROM (SELECT k, row_number() OVER (ORDER BY k) - 1 AS pos FROM latest) WHERE pos % 16 = 0")
+def kv_page_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.page_directory(views.index(events_log(spark, sf_dir)), 16).select("page", F.hex("key").alias("k"))
+
+
+@query(
+    SQL_LATEST + ", q AS (SELECT DISTINCT upper(substr(md5(concat('q', CAST(s_suppkey AS VARCHAR))), 1, 16)) AS q FROM supplier) "
+    "SELECT q.q, max(l.k) AS \"floor\" FROM q LEFT JOIN latest l ON l.k <= q.q GROUP BY q.q"
+)
+def kv_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "supplier").select(codec.digest_key(F.concat(F.lit("q"), F.col("s_suppkey").cast("string"))).alias("q")).distinct()
+    return views.floor(views.index(events_log(spark, sf_dir)), asked).select(F.hex("q").alias("q"), F.hex("floor").alias("floor"))
+
+
+@query(SQL_LATEST + "SELECT k, seq, v FROM latest")
+def kv_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log that breaks off at nine tenths, and a tail that overlaps it."""
+    log = events_log(spark, sf_dir)
+    cut = log.agg(F.max("seq")).first()[0] * 9 // 10
+    return rows_of(recovery.recovered(log.filter(F.col("seq") <= cut), log.filter(F.col("seq") > cut - 10)))
+
+
+@query(SQL_LOG + "latest AS (SELECT k, max(seq) AS seq, arg_max(v, seq) AS v FROM log WHERE seq <= 5000 GROUP BY k) SELECT k, seq, v FROM latest")
+def kv_as_of_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows_of(views.as_of(events_log(spark, sf_dir), 5000))
+
+
+@query("WITH log AS (SELECT upper(substr(md5(CAST(event_id AS VARCHAR)), 1, 16)) AS k FROM events), p AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS pos FROM log) SELECT CAST(pos // 256 AS BIGINT) AS batch, count(*) AS n, min(k) AS \"first\", max(k) AS \"last\" FROM p GROUP BY 1")
+def kv_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = table(spark, sf_dir, "events").select(codec.digest_key("event_id").alias("key"))
+    return views.batches(views.positioned(keys)).select("batch", "n", F.hex("first").alias("first"), F.hex("last").alias("last"))
+
+
+@query("SELECT upper(substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 16)) AS k, CAST(2 * o_orderkey + 1 AS BIGINT) AS seq, concat(o_orderpriority, '!') AS v FROM orders")
+def kv_double_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(codec.digest_key("o_orderkey").alias("key"), "o_orderkey", "o_orderpriority")
+    return rows_of(views.latest(workload.double_write(rows, "o_orderkey", F.col("o_orderpriority"), F.concat("o_orderpriority", F.lit("!")))))
+
+
+@query("SELECT CAST(user_id AS BIGINT) AS k, max(event_id) AS seq, arg_max(event_type, event_id) AS v FROM events GROUP BY 1")
+def kv_stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest view as a streaming aggregation over the table's files."""
+    source = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir) if not _is_folder(spark, f"{sf_dir}/events.parquet") else spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet")
+    log = stream.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("event_type").alias("value"))
+    out = streaming.run_to_memory(streaming.latest_stream(log), f"latest_{uuid.uuid4().hex}")
+    return out.select(F.col("key").cast("bigint").alias("k"), "seq", F.col("value").alias("v"))
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
+def _store(spark: SparkSession, sf_dir: str) -> Store:
+    """A store with the events' log in two batches and a snapshot of the first."""
+    store, log = Store.open(spark, scratch(spark, "store")), events_log(spark, sf_dir)
+    half = log.agg(F.max("seq")).first()[0] // 2
+    store.write(log.filter(F.col("seq") <= half))
+    store.compact()
+    store.write(log.filter(F.col("seq") > half))
+    store.refresh()
+    return store
+
+
+@query(SQL_LATEST + "SELECT k, seq, v FROM latest WHERE k >= '4000000000000000' AND k < '8000000000000000'")
+def kv_store_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written, compacted, written again, and read in a range from the sorted run and the newer batch."""
+    return rows_of(_store(spark, sf_dir).range(LOW, HIGH)).withColumn("v", F.decode("v", "UTF-8"))
+
+
+@query(SQL_LATEST + "SELECT k, seq, v FROM latest")
+def kv_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _store(spark, sf_dir)
+    store.compact()
+    return rows_of(store.view()).withColumn("v", F.decode("v", "UTF-8"))
+
+
+@query(SQL_LOG.rstrip(", ") + f" SELECT k, CAST({SQL_SHARD} AS BIGINT) AS shard, CAST(row_number() OVER (PARTITION BY {SQL_SHARD} ORDER BY seq) - 1 AS BIGINT) AS seq FROM log WHERE {SQL_SHARD} < 256")
+def kv_raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as raw 12-byte records by shard, read back and trimmed. (The raw format is for shards below 256 here, to keep files few.)"""
+    rows = events_log(spark, sf_dir).select("key", F.col("seq").alias("event_id")).filter(F.col("key") < F.lit(LOW))
+    folder = scratch(spark, "raw")
+    raw.write_records(views.sequenced(rows, "event_id"), folder)
+    records = raw.trimmed(raw.read_records_by_file(spark, folder))
+    return records.select(F.hex("key").alias("k"), shard_of("key").alias("shard"), "seq")
+
+
+LE4 = "concat(substr(lpad(to_hex({0}), 8, '0'), 7, 2), substr(lpad(to_hex({0}), 8, '0'), 5, 2), substr(lpad(to_hex({0}), 8, '0'), 3, 2), substr(lpad(to_hex({0}), 8, '0'), 1, 2))"
+
+
+@query(
+    f"SELECT event_id, upper({LE4.format('event_id')}) AS le4, event_id AS back, upper(substr(md5(CAST(event_id AS VARCHAR)), 1, 16)) AS k, "
+    "CAST(CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END AS BIGINT) AS as_long, CAST(event_id * 4096 AS BIGINT) AS byte_offset "
+    "FROM (SELECT event_id, CAST(CAST(concat('0x', substr(md5(CAST(event_id AS VARCHAR)), 1, 16)) AS UBIGINT) AS HUGEINT) AS u FROM events)"
+)
+def kv_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hex, sequences of 4 bytes, keys as numbers, value offsets."""
+    e = table(spark, sf_dir, "events").select("event_id", codec.digest_key("event_id").alias("key"))
+    le = codec.int_to_bytes("event_id")
+    hexed = codec.to_hex(codec.from_hex(F.concat_ws(" ", F.substring(F.hex("key"), 1, 8), F.substring(F.hex("key"), 9, 8))))
+    return e.select("event_id", F.hex(le).alias("le4"), codec.bytes_to_int(le).cast("bigint").alias("back"), hexed.alias("k"), codec.key_to_long("key").alias("as_long"), codec.value_offset("event_id").alias("byte_offset"))
+
+
+def _sql_le(at: int, n: int) -> str:
+    digits = ", ".join(f"substr(k, {2 * j + 1}, 2)" for j in range(at + n - 1, at - 1, -1))
+    return f"CAST(CAST(concat('0x', {digits}) AS BIGINT) - CASE WHEN CAST(concat('0x', {digits}) AS BIGINT) >= {1 << (8 * n - 1)} THEN {1 << (8 * n)} ELSE 0 END AS BIGINT)"
+
+
+@query(
+    f"WITH s AS (SELECT c_custkey, upper(substr(md5(CAST(c_custkey AS VARCHAR)), 1, 16)) AS k FROM customer) SELECT c_custkey, {_sql_le(0, 1)} AS b, {_sql_le(1, 2)} AS s, {_sql_le(2, 4)} AS i, "
+    "CAST(list_reduce(list_concat([CAST(8 AS BIGINT)], list_transform([1, 3, 5, 7, 9, 11, 13, 15], lambda p: (CAST(concat('0x', substr(k, p, 2)) AS BIGINT) + 128) % 256 - 128)), lambda h, x: (((h * 31 + x) % 4294967296) + 4294967296) % 4294967296) AS BIGINT) AS h32 FROM s"
+)
+def kv_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers inside a key, least significant byte first, and the hash of its bytes (here as an unsigned number)."""
+    s = table(spark, sf_dir, "customer").select("c_custkey", codec.digest_key("c_custkey").alias("key"))
+    h = codec.content_hash("key")
+    return s.select("c_custkey", codec.read_little_endian("key", 0, "byte").cast("bigint").alias("b"), codec.read_little_endian("key", 1, "short").cast("bigint").alias("s"), codec.read_little_endian("key", 2, "int").cast("bigint").alias("i"), F.when(h < 0, h + (1 << 32)).otherwise(h).alias("h32"))
+
+
+@query("SELECT p_size, CAST(16 + p_size AS BIGINT) AS bytes, CAST(16 + 2 * p_size AS BIGINT) AS shorts, CAST(16 + 4 * p_size AS BIGINT) AS ints, CAST(16 + 8 * p_size AS BIGINT) AS longs FROM (SELECT DISTINCT p_size FROM part)")
+def kv_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = table(spark, sf_dir, "part").select("p_size").distinct()
+    return sizes.select("p_size", *(codec.array_bytes("p_size", kind).alias(f"{kind}s") for kind in ("byte", "short", "int", "long")))
+
+
+@query(SQL_LATEST + "SELECT k, CAST(u - 9223372036854775808 AS BIGINT) AS rank_value FROM (SELECT k, CAST(CAST(concat('0x', k) AS UBIGINT) AS HUGEINT) AS u FROM latest)")
+def kv_unsigned_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys as numbers whose signed order is the keys' unsigned order."""
+    return views.index(events_log(spark, sf_dir)).select(F.hex("key").alias("k"), codec.unsigned_order("key").alias("rank_value"))
+
+
+@query(
+    "SELECT c_custkey, concat(list_extract(['3F00', '3F40', '3F80', '3FC0', '4000', '4040'], CAST(c_custkey % 6 + 1 AS INTEGER)), upper(lpad(to_hex(c_custkey * 10000 + c_nationkey), 8, '0')), '0000') AS k, "
+    "CAST(list_extract([252, 253, 254, 255, 256, 257], CAST(c_custkey % 6 + 1 AS INTEGER)) AS BIGINT) AS shard, CAST(list_extract([15, 15, 15, 15, 0, 0], CAST(c_custkey % 6 + 1 AS INTEGER)) AS BIGINT) AS part FROM customer"
+)
+def kv_structured_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select("c_custkey", workload.structured_key(F.col("c_custkey"), F.col("c_nationkey")).alias("key"))
+    return rows.select("c_custkey", F.hex("key").alias("k"), shard_of("key").alias("shard"), hash_partition("key", 16).cast("bigint").alias("part"))
+
+
+@query(
+    "WITH w AS (SELECT i // 250 AS writer, i, upper(substr(md5(concat(CAST(i // 250 AS VARCHAR), '/', CAST(i % 250 AS VARCHAR))), 1, 16)) AS k FROM range(2000) t(i)) "
+    "SELECT k, max(i) AS seq, CAST(256 AS BIGINT) AS value_bytes FROM w GROUP BY k"
+)
+def kv_seeded_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight writers, each with keys from its own seed; every key is read back with a value that begins with it."""
+    view = views.latest(workload.seeded(spark, 8, 250, 256))
+    return view.filter(F.substring("value", 1, 8) == F.col("key")).select(F.hex("key").alias("k"), "seq", F.octet_length("value").cast("bigint").alias("value_bytes"))
+
+
+# Not of the key-value contract: what a view gives besides, being a table.
+
+
+@query(SQL_LATEST + "SELECT k, seq FROM latest ORDER BY k LIMIT 10")
+def ext_top_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.index(events_log(spark, sf_dir)).orderBy("key").limit(10).select(F.hex("key").alias("k"), "seq")
+
+
+@query(SQL_LATEST + "SELECT split_part(v, '|', 2) AS event_type, count(*) AS n, max(seq) AS last FROM latest GROUP BY 1")
+def ext_group_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.latest(events_log(spark, sf_dir)).groupBy(F.split_part("value", F.lit("|"), F.lit(2)).alias("event_type")).agg(F.count("*").alias("n"), F.max("seq").alias("last"))
