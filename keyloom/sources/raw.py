@@ -39,24 +39,34 @@ def trimmed(records: DataFrame) -> DataFrame:
 
 
 def write_records(log: DataFrame, folder: str, bits: int = SHARD_BITS) -> list[tuple[int, int]]:
-    """One wal-N file per shard N, records in the order of seq. Returns (shard, records). Files are moved to their names when whole."""
+    """One wal-N file per shard N, records in the order of seq. Returns (shard, records).
+
+    Shards are dealt to tasks and written as their sorted rows stream by; a file gets its name when it is whole.
+    """
     scheme = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
 
-    def write(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(scheme)
         fs.create_dir(base)
-        shard, n = key[0].as_py(), 0
-        with fs.open_output_stream(f"{base}/.wal-{shard}") as out:
-            for b in batches:
-                out.write(b"".join(b.column("record").to_pylist()))
-                n += b.num_rows
-        fs.move(f"{base}/.wal-{shard}", f"{base}/wal-{shard}")
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "n": [n]}, schema=pa.schema([("shard", pa.int64()), ("n", pa.int64())]))
+        out, shard, counts = None, None, []
+
+        def end() -> None:
+            out.close()
+            fs.move(f"{base}/.wal-{shard}", f"{base}/wal-{shard}")
+
+        for b in batches:
+            for s, record in zip(b.column("shard").to_pylist(), b.column("record").to_pylist(), strict=True):
+                if s != shard:
+                    if out is not None:
+                        end()
+                    out, shard = fs.open_output_stream(f"{base}/.wal-{s}"), s
+                    counts.append([s, 0])
+                out.write(record)
+                counts[-1][1] += 1
+        if out is not None:
+            end()
+        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in counts], pa.int64()), pa.array([n for _, n in counts], pa.int64())], names=["shard", "n"])
 
     rows = log.select(shard_of("key", bits).alias("shard"), "seq", F.concat("key", int_to_bytes("seq")).alias("record"))
-
-    def ordered(key: tuple, t: pa.Table) -> pa.Table:
-        t = t.sort_by("seq")
-        return pa.Table.from_batches(write(key, iter(t.to_batches())))
-
-    return sorted((r["shard"], r["n"]) for r in rows.groupBy("shard").applyInArrow(ordered, "shard bigint, n bigint").collect())  # one row a shard
+    dealt = rows.repartition("shard").sortWithinPartitions("shard", "seq").select("shard", "record")
+    return sorted((r["shard"], r["n"]) for r in dealt.mapInArrow(write, "shard bigint, n bigint").collect())  # one row a shard
