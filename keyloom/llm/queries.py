@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from keyloom.llm import decontaminate, html_text, inner_product, language_id, near_dup, packing, pii, sentence_spans, token_store, url_filter
 from keyloom.llm.common import Workspace, table
+from keyloom.llm.oracle import ORACLE  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,5 +61,3 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_reputation, op2_main_text, op3_near_duplicates, op4_pii, op5_best_fit, op6_inner_product, op7_token_store, op8_decontaminate, op9_language_id, op10_sentence_spans)}
-
-ORACLE: dict[str, str] = {}

@@ -1,0 +1,94 @@
+import hashlib
+import random
+import re
+import time
+from collections import Counter
+
+from keyloom.llm import pii
+
+from .helpers import AWKWARD, documents
+
+PATTERNS = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), "card": re.compile(r"[0-9]([\x20-]?[0-9])+"), "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+KEEP = {
+    "email": lambda s: True, "ip": lambda s: all(int(x) <= 255 for x in s.split(".")), "phone": lambda s: 9 <= len(re.sub(r"[^0-9]", "", s)) <= 15,
+    "card": lambda s: 12 <= len(d := re.sub(r"[^0-9]", "", s)) <= 19 and sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(d))) % 10 == 0,
+}
+
+
+def plain(t):
+    out = [(m.start(), m.end(), kind) for kind, p in PATTERNS.items() for m in p.finditer(t) if KEEP[kind](m[0])]
+    return sorted(out, key=lambda x: (x[0], list(PATTERNS).index(x[2])))
+
+
+def test_base_spans_equal_the_patterns():
+    rng = random.Random(4)
+    for letters, n in (("ab@@..-+_1250 ()é٣", 6000), ("1234567890 -+.", 3000), ("a.@-", 3000)):
+        for _ in range(n):
+            t = "".join(rng.choice(letters) for _ in range(rng.randrange(40)))
+            assert pii.base_spans(t) == plain(t), t
+
+
+TEXTS = [
+    (20, "write to jo.doe@mail.example.com or call +1 (864) 555-2588 now"), (21, "server 10.0.0.1 and 300.1.1.1; card 4111 1111 1111 1111, not 4111 1111 1111 1112"), (22, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" and password=a3e12ff8a0f0fc68a3'),
+    (23, "IBAN DE89 3704 0044 0532 0130 00 and ssn 123-45-6789"), (24, "日本 é a@b.co 🙂 c@d.org"), (25, "name [at] host [dot] com; a = b; x: y"),
+]
+
+
+def test_documents(spark):
+    rows = [(k + 100 * i if k else k, t) for i in range(4) for k, t in TEXTS] + AWKWARD
+    docs = documents(spark, rows)
+    model = pii.learn(docs)
+    got = pii.find(docs, model).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], []).append(r)
+    for k, t in rows:
+        base = plain(t or "")
+        r = by[k][0] if k is not None else next(r for r in by[None])
+        if k is None:
+            continue
+        n = Counter(x[2] for x in base)
+        assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) == (n["email"], n["ip"], n["card"], n["phone"])
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{kind}:{a}:{b}" for a, b, kind in base).encode()).hexdigest()
+        assert set(f"{kind}:{a}:{b}" for a, b, kind in base) <= set(r["spans"].split(",")) | {""}
+    assert by[22][0]["spans"].split(",") == ["secret:9:49", "secret:64:82"]
+    assert by[1][0]["spans"] == "" and by[2][0]["n_email"] == 0
+
+
+def test_model_trusts_labelers_that_agree():
+    counts = {"secret|1,-1,1,1,1|1": 500, "secret|0,-1,0,-1,0|0": 400, "email|1,-1,1,-1,1|2": 900, "email|1,-1,0,-1,0|0": 300}
+    m = pii.Model(counts)
+    assert m.probability("secret|1,-1,1,1,1|1") > 0.9 and m.probability("secret|0,-1,0,-1,0|0") < 0.1
+    assert all(right > wrong for right, wrong in m.reliability.values())
+    assert pii.Model({}).probability("email|1,-1,1,-1,1|2") == 0.0
+
+
+def test_redaction_keeps_columns_and_clean_rows(spark):
+    docs = documents(spark, [*TEXTS, (1, None), (2, ""), (3, "nothing here")])
+    out = pii.redact(docs, pii.learn(docs))
+    assert out.schema == docs.schema
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()}
+    assert got[20][0] == "write to [EMAIL] or call [PHONE] now" and got[20][1] == len(got[20][0])
+    assert got[21][0] == "server [IP] and 300.1.1.1; card [CARD], not 4111 1111 1111 1112"
+    assert got[1] == (None, None) and got[2] == ("", 0) and got[3] == ("nothing here", 12)
+
+
+def test_overlapping_spans_are_redacted_once():
+    t = "a@1.2.3.4 x"
+    assert [s[2] for s in pii.base_spans(t)] == ["email", "ip"]
+    assert pii.redacted(t, pii.base_spans(t)) == "[EMAIL] x"
+
+
+def test_linear_on_long_runs():
+    m, began = pii.Model({}), time.time()
+    for t in ("1" * 200_000, "a" * 200_000, "+1" * 100_000, "1." * 100_000, "a@" * 100_000, "1 " * 100_000, "a@b." * 50_000, "=:" * 30_000):
+        pii.spans_of(t, m)
+    assert time.time() - began < 15
+
+
+def test_empty(spark):
+    docs = documents(spark, TEXTS).filter("false")
+    assert pii.find(docs, pii.learn(docs)).count() == 0
