@@ -34,9 +34,12 @@ def measured(docs: DataFrame) -> DataFrame:
     """doc_id, source, n (words and an end token), cluster (hash of the words, A-Z lower-cased; 0 if there are none)."""
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts(batch)]
-        cluster = [xxhash.xxh3_64_intdigest(b" ".join(w)) >> 1 if w else 0 for w in words]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array([len(w) + 1 for w in words], pa.int64()), pa.array(cluster, pa.int64())], names=["doc_id", "source", "n", "cluster"])
+        size, cluster = [], []
+        for t in texts(batch):  # one text's words at a time
+            words = t.encode("utf-8", "surrogatepass").lower().split()
+            size.append(len(words) + 1)
+            cluster.append(xxhash.xxh3_64_intdigest(b" ".join(words)) >> 1 if words else 0)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(size, pa.int64()), pa.array(cluster, pa.int64())], names=["doc_id", "source", "n", "cluster"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     return map_batches(rows, f, "doc_id bigint, source string, n bigint, cluster bigint")
