@@ -102,7 +102,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     by_doc = work.stage(run_hashes(docs).filter(F.size("runs") > 0), "runs")
     flat = by_doc.select("doc_id", F.explode("runs").alias("h"))
     repeated = flat.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1").select("h", "first")
-    hit = flat.join(repeated, "h")
+    hit = flat.join(work.stage(repeated, "repeated"), "h")  # from a table, so both sides are plain exchanges and hot partitions split
     marks = hit.groupBy("doc_id").agg(F.collect_set(F.when(F.col("first") == F.col("doc_id"), F.col("h"))).alias("firsts"), F.collect_set(F.when(F.col("first") < F.col("doc_id"), F.col("h"))).alias("laters"))
     rows = _slim(docs).withColumn("_key", F.coalesce("doc_id", F.lit(LAST))).join(marks.withColumnRenamed("doc_id", "_key"), "_key", "left").select("doc_id", "text", "firsts", "laters")
 
