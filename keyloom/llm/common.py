@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch; texts are long, so batches stay at a few MB.
-BATCH_ROWS = 512
+#: Rows and bytes of an Arrow batch; texts are long, so batches stay at a few MB (one text at least).
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Keep Arrow batches of long texts small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,6 +64,15 @@ class Workspace:
             pass
 
 
+#: Ids that are broadcast at most (about 25 MB in memory).
+BROADCAST_IDS = 1_000_000
+
+
+def broadcast_if_few(ids: DataFrame, bound: int = BROADCAST_IDS) -> DataFrame:
+    """A table of ids, to be broadcast if it is counted to be small; else it is joined by shuffle."""
+    return F.broadcast(ids) if ids.count() <= bound else ids
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Apply f to each Arrow batch."""
     small_batches(df.sparkSession)
@@ -95,7 +105,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHash:
     """64-bit hashes of words, kept for the words seen last in this worker (a cache with a bound, no state that matters)."""
 
-    def __init__(self, bound: int = 400_000) -> None:
+    def __init__(self, bound: int = 250_000) -> None:
         self.bound, self.known = bound, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:

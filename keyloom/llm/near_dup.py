@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import WordHash, Workspace, map_batches, runs_hash, texts
+from keyloom.llm.common import WordHash, Workspace, broadcast_if_few, map_batches, runs_hash, texts
 from keyloom.llm.components import components
 
 SHINGLE, K, T = 5, 64, 32
@@ -225,7 +225,7 @@ def _sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingles(t).tobytes() for t in texts(batch)], pa.binary())], names=["id", "raw"])
 
-    rows = _slim(docs).join(members.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    rows = _slim(docs).join(broadcast_if_few(members.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi")
     return map_batches(rows.select("doc_id", "text"), f, "id bigint, raw binary")
 
 
@@ -242,6 +242,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     work = Workspace(docs.sparkSession, "neardup")
     found = work.stage(near_duplicates(docs, work), "result")
     gone = found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = broadcast_if_few(gone)  # else the texts would move
     kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
     if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():  # rows that repeat an id
         same = kept.filter("doc_id is not null").dropDuplicates(["doc_id"])
