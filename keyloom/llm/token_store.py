@@ -22,9 +22,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +40,6 @@ from keyloom.llm.common import mix64, small_batches, texts
 
 M64 = (1 << 64) - 1
 NO_POSITION = 0xFFFFFFFF
-BAR = "|"
 
 
 def _mix(x: int) -> int:
@@ -120,45 +121,80 @@ class Mph:
 
 
 class WordEncoder:
-    """Ids of a text, by the ids of its words.
+    """Ids of texts, by the ids of their words.
 
     The tokenizer splits at white space before anything else joins, so a text's ids are those of its pieces between blanks and
-    line ends. The ids of pieces seen last are kept, up to a bound; the library encodes the others.
+    line ends. A piece of Latin letters and some marks after them splits further, into its letters, lower-cased, and its marks;
+    letters go straight to the tokenizer's merges. The ids of pieces and parts seen last are kept, up to a bound; the library
+    encodes the others, many as one text with bars between them: a bar between blanks is one id that no piece without one gives.
     """
 
-    def __init__(self, path: str, bound: int = 800_000) -> None:
+    BAR = "|"
+    SIMPLE = re.compile("([a-zA-Z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,;:!?*#$%&]*)")
+
+    def __init__(self, path: str, bound: int = 900_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.bound = Tokenizer.from_file(path), bound
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[str, bytes] = {"": b""}
-        # a bar between blanks is one id that no piece without a bar gives; many new pieces are encoded as one text, cut at bars
-        bar = self.tokenizer.encode(BAR, add_special_tokens=False).ids
+        bar = self.tokenizer.encode(self.BAR, add_special_tokens=False).ids
         self.bar = bar[0] if len(bar) == 1 else None
+        # as the tokenizer spells the bytes of letters beyond ASCII
+        spell = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.spelling = {c: spell(chr(c))[0][0] for c in range(0xDF, 0x100) if c != 0xF7}
+        self.merges = self.tokenizer.model.tokenize
+        self.known: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {"": b""}
+
+    def _encode(self, new: list[str], into: dict[str, bytes]) -> None:
+        kind = f"<u{self.width}"
+        plain = [w for w in new if self.BAR not in w] if self.bar is not None else []
+        for k in range(0, len(plain), 512):
+            some = plain[k : k + 512]
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {self.BAR} ".join(some)], add_special_tokens=False)[0].ids, dtype=kind)
+            raw = ids.tobytes()
+            cuts = (np.flatnonzero(ids == self.bar) * self.width).tolist()
+            into.update(zip(some, [raw[a:b] for a, b in zip([0, *(c + self.width for c in cuts)], [*cuts, len(raw)], strict=True)], strict=True))
+        if odd := [w for w in new if w not in into]:
+            for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+                into[w] = np.array(e.ids, dtype=kind).tobytes()
+
+    def learn(self, pieces: set[str]) -> None:
+        """Take in pieces that are not known."""
+        for kept in (self.known, self.parts):
+            if len(kept) > self.bound:
+                kept.clear()
+                kept[""] = b""
+        odd, known, parts, marks = [], self.known, self.parts, {}
+        kind = "H" if self.width == 2 else "I"
+        for w in pieces:
+            if m := self.SIMPLE.fullmatch(w):
+                letters, after = m[1].lower(), m[2]
+                ids = parts.get(letters)
+                if ids is None:
+                    spelled = letters if letters.isascii() else letters.translate(self.spelling)
+                    ids = parts[letters] = array(kind, [t.id for t in self.merges(spelled)]).tobytes()
+                if after in parts:
+                    known[w] = ids + parts[after]
+                else:
+                    marks[w] = ids, after
+            else:
+                odd.append(w)
+        self._encode(list({after for _, after in marks.values()}), parts)
+        known.update((w, ids + parts[after]) for w, (ids, after) in marks.items())
+        self._encode(odd, known)
 
     def __call__(self, text: str) -> bytes:
+        """The ids of a text, as little-endian bytes. A piece is looked up once, and text by text, so that the words stay in the processor's cache."""
         pieces = text.replace("\n", " ").split(" ")
-        known = self.known
-        try:
-            return b"".join([known[w] for w in pieces])
-        except KeyError:
-            if len(known) > self.bound:
-                known = self.known = {"": b""}
-            new = list({w for w in pieces if w not in known})
-            plain = [w for w in new if BAR not in w]
-            if self.bar is None:
-                plain = []
-            for k in range(0, len(plain), 256):
-                some = plain[k : k + 256]
-                ids = np.array(self.tokenizer.encode_batch_fast([f" {BAR} ".join(some)], add_special_tokens=False)[0].ids, dtype=f"<u{self.width}")
-                raw = ids.tobytes()
-                cuts = (np.flatnonzero(ids == self.bar) * self.width).tolist()
-                known.update(zip(some, [raw[a:b] for a, b in zip([0, *(c + self.width for c in cuts)], [*cuts, len(raw)], strict=True)], strict=True))
-            if odd := [w for w in new if w not in known]:
-                for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, dtype=f"<u{self.width}").tobytes()
-            return b"".join([known[w] for w in pieces])
+        ids = list(map(self.known.get, pieces))
+        if None in ids:
+            new = [i for i, x in enumerate(ids) if x is None]
+            self.learn({pieces[i] for i in new})
+            for i in new:
+                ids[i] = self.known[pieces[i]]
+        return b"".join(ids)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
