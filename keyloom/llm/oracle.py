@@ -58,8 +58,12 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
-OP10 = f"""WITH p AS (SELECT doc_id, text, unnest(string_split(replace(regexp_replace(coalesce(text, ''), '([.!?]+)([\\x20\\x09-\\x0D])', '\\1' || chr(1) || '\\2', 'g'), chr(10), chr(10) || chr(1)), chr(1))) AS piece,
-  generate_subscripts(string_split(replace(regexp_replace(coalesce(text, ''), '([.!?]+)([\\x20\\x09-\\x0D])', '\\1' || chr(1) || '\\2', 'g'), chr(10), chr(10) || chr(1)), chr(1)), 1) AS i FROM documents),
+OP10 = f"""WITH p0 AS (SELECT doc_id, unnest(string_split(replace(regexp_replace(coalesce(text, ''), '([.!?]+)([\\x20\\x09-\\x0D])', '\\1' || chr(1) || '\\2', 'g'), chr(10), chr(10) || chr(1)), chr(1))) AS piece,
+  generate_subscripts(string_split(replace(regexp_replace(coalesce(text, ''), '([.!?]+)([\\x20\\x09-\\x0D])', '\\1' || chr(1) || '\\2', 'g'), chr(10), chr(10) || chr(1)), chr(1)), 1) AS i0 FROM documents),
+p1 AS (SELECT doc_id, i0, string_split(CASE WHEN len(regexp_extract_all(piece, '{SPACE_WORD}')) > {sentence_spans.LONG} THEN regexp_replace(piece, '([^\\x20\\x09-\\x0D]{{{sentence_spans.LONG_WORD},}})([\\x20\\x09-\\x0D])', '\\1' || chr(1) || '\\2', 'g') ELSE piece END, chr(1)) AS parts FROM p0),
+p2 AS (SELECT doc_id, i0, unnest(parts) AS piece, generate_subscripts(parts, 1) AS j0 FROM p1),
+p3 AS (SELECT doc_id, i0, j0, string_split(CASE WHEN len(regexp_extract_all(piece, '{SPACE_WORD}')) > {sentence_spans.LONG} THEN regexp_replace(regexp_replace(piece, '((?:{SPACE_WORD}[\\x20\\x09-\\x0D]+){{{sentence_spans.WORDS - 1}}}{SPACE_WORD})([\\x20\\x09-\\x0D])', '\\1' || chr(1) || '\\2', 'g'), chr(1) || '([\\x20\\x09-\\x0D]*)$', '\\1') ELSE piece END, chr(1)) AS parts FROM p2),
+p4 AS (SELECT doc_id, i0, j0, unnest(parts) AS piece, generate_subscripts(parts, 1) AS k0 FROM p3), p AS (SELECT doc_id, piece, row_number() OVER (PARTITION BY doc_id ORDER BY i0, j0, k0) AS i FROM p4),
 q AS (SELECT doc_id, i, piece, regexp_extract_all({LOWER.format("piece")}, '{SPACE_WORD}') AS w FROM p),
 s AS (SELECT doc_id, i, array_to_string(w, ' ') AS x, len(w) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM q WHERE len(w) > 0),
 c AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY k) AS upto FROM s),

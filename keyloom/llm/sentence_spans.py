@@ -1,6 +1,9 @@
 """Substring dedup by sliding sentence spans: runs of consecutive sentences are hashed and joined over all documents.
 
-A sentence ends after ".", "!" or "?" (one or more) before white space, or at a line end. From every sentence a run starts: it
+A sentence ends after ".", "!" or "?" (one or more) before white space, or at a line end. A sentence of more than LONG words is
+divided after its words of LONG_WORD characters or more, a part that still has more than LONG words after every WORDS words; the
+parts count as sentences. So a passage without marks, or one that starts in the middle of a sentence, has the same parts wherever
+it stands. From every sentence a run starts: it
 and the sentences after it, SENTENCES of them at least and as many as make WORDS words (no run starts where the text ends
 first). Runs are equal if their words are, A-Z lower-cased. Of the occurrences of a run the first stays: the first in the
 document with the smallest doc_id. Sentences that any other occurrence covers are removed, all else stays byte for byte.
@@ -26,20 +29,39 @@ from pyspark.sql import functions as F
 from keyloom.llm.common import ODD, Workspace, map_batches, mix64
 
 SENTENCES, WORDS = 2, 12
+LONG, LONG_WORD = 24, 8
 LAST = (1 << 63) - 1
-END = re.compile(rb"[.!?]+(?=[\x20\x09-\x0D])|\n")
+END = re.compile(rb"(?<![.!?])[.!?]++(?=[\x20\x09-\x0D])|\n")
+#: A word of so many code points, up to white space.
+PART = re.compile(rb"(?<!\S)(?:[\x00-\x08\x0E-\x1F\x21-\x7F]|[\xC0-\xFF][\x80-\xBF]*){%d,}+(?=[\x20\x09-\x0D])" % LONG_WORD)
+WORD = re.compile(rb"\S+")
 
 
 def sentences(raw: bytes) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
     """Byte spans of the sentences (pieces without words belong to none), their hashes and numbers of words."""
     spans, hashes, counts, at = [], [], [], 0
     low, one = raw.lower(), xxhash.xxh3_64_intdigest
+
+    def add(a: int, b: int, words: list[bytes]) -> None:
+        spans.append((a, b))
+        hashes.append(one(b" ".join(words)))
+        counts.append(len(words))
+
     for end in [*(m.end() for m in END.finditer(raw)), len(raw)]:
         words = low[at:end].split()
-        if words:
-            spans.append((at, end))
-            hashes.append(one(b" ".join(words)))
-            counts.append(len(words))
+        if len(words) > LONG:
+            for part in [*(m.end() for m in PART.finditer(raw, at, end)), end]:
+                some = low[at:part].split()
+                if len(some) > LONG:
+                    for cut_at in [m.end() for m in WORD.finditer(raw, at, part)][WORDS - 1 : -1 : WORDS]:
+                        add(at, cut_at, low[at:cut_at].split())
+                        at = cut_at
+                    some = low[at:part].split()
+                if some:
+                    add(at, part, some)
+                at = part
+        elif words:
+            add(at, end, words)
         at = end
     return spans, np.array(hashes, dtype=np.uint64), np.array(counts, dtype=np.int64)
 

@@ -8,11 +8,23 @@ from .helpers import AWKWARD, documents, table
 
 def split(t):
     out, at = [], 0
+
+    def add(a, b):
+        w = tuple(t[a:b].encode("utf-8", "surrogatepass").lower().split())
+        if w:
+            out.append((a, b, w))
+
     for m in [*re.finditer(r"[.!?]+(?=[\x20\x09-\x0D])|\n", t), None]:
         end = m.end() if m else len(t)
-        w = tuple(t[at:end].encode("utf-8", "surrogatepass").lower().split())
-        if w:
-            out.append((at, end, w))
+        if len(t[at:end].encode("utf-8", "surrogatepass").split()) > s.LONG:
+            cuts = [at + x.end() for x in re.finditer(r"[^\x20\x09-\x0D]{%d,}(?=[\x20\x09-\x0D])" % s.LONG_WORD, t[at:end])]
+            for a, b in zip([at, *cuts], [*cuts, end]):
+                ends = [a + x.end() for x in re.finditer(r"[^\x20\x09-\x0D]+", t[a:b])]
+                more = ends[s.WORDS - 1 : -1 : s.WORDS] if len(ends) > s.LONG else []
+                for c, d in zip([a, *more], [*more, b]):
+                    add(c, d)
+        else:
+            add(at, end)
         at = end
     return out
 
@@ -79,3 +91,24 @@ def test_repeats_inside_a_document_and_rows_without_ids(spark):
 
 def test_empty(spark):
     assert s.dedup(documents(spark, AWKWARD).filter("false")).count() == 0
+
+
+def test_a_passage_without_marks_is_found_anywhere(spark):
+    rng = random.Random(6)
+    draw = lambda n: " ".join("".join(rng.choice("abcdefghéß") for _ in range(rng.randrange(2, 12))) for _ in range(n))
+    passage = draw(60)
+    rows = [(k, f"{draw(7 + 5 * k)} {passage} {draw(9)}") for k in range(4)]
+    out = {r["doc_id"]: r["text"] for r in s.dedup(documents(spark, rows)).collect()}
+    assert out == {k: v[2] for k, v in plain(rows).items()} and out[0] == rows[0][1]
+    w = passage.split()
+    for k in range(1, 4):
+        assert not any(" ".join(w[i : i + 25]) in out[k] for i in range(36))
+
+
+def test_linear_on_awkward_texts():
+    import time
+
+    began = time.time()
+    for t in ("." * 300_000, "a " * 30 + "b" * 300_000, "!? " * 100_000, "\n" * 300_000, "the " * 100_000, "é" * 200_000 + " x" * 40):
+        s.cut(t, set(), set())
+    assert time.time() - began < 15
