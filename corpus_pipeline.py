@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from keyloom.llm import decontaminate, language_id, near_dup, packing, pii
 from keyloom.llm.common import Workspace, table
 
-#: Documents whose language is not clearly any learnt one go. With four languages even chance would score 0.25.
-LEAST_SCORE = 0.4
+#: Documents that fit no learnt language go. Low, so that short or mixed but clean documents stay: with four languages chance scores 0.25.
+LEAST_SCORE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,6 +46,10 @@ DIGIT = re.compile(r"[0-9]")
 KEY = re.compile(r"(?i)(password|passwd|passphrase|pwd|secret|token|credential|api[_-]?key|access[_-]?key|auth)[\"']?[\x20\t]*\Z")
 VALUE = re.compile(r"[\x20\t]*[\"']?([^\s\"'<>,;&]{6,128})")
 HEX = re.compile(r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])")
+#: Access keys of known makes, by their prefixes.
+ISSUED = re.compile(
+    r"(?<![0-9A-Za-z_-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,255}|sk-[0-9A-Za-z_-]{20,255}|xox[abprs]-[0-9A-Za-z-]{10,255}|AIza[0-9A-Za-z_-]{35}|eyJ[0-9A-Za-z_-]{10,4096}\.[0-9A-Za-z_-]{10,4096}\.[0-9A-Za-z_-]{10,4096})(?![0-9A-Za-z_-])"
+)
 IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[0-9A-Z]{4}){2,7}(?:\x20?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 NATIONAL = re.compile(r"(?<![0-9])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9])")
@@ -114,7 +118,7 @@ def other_candidates(text: str) -> list[tuple[int, int, str]]:
         if KEY.search(text, max(0, m.start() - 32), m.start()) and (v := VALUE.match(text, m.end())):
             out.append((v.start(1), v.end(1), "secret"))
     if DIGIT.search(text):
-        for kind, pattern in (("secret", HEX), ("iban", IBAN), ("ssn", SSN), ("national", NATIONAL)):
+        for kind, pattern in (("secret", HEX), ("secret", ISSUED), ("iban", IBAN), ("ssn", SSN), ("national", NATIONAL)):
             out += [(m.start(), m.end(), kind) for m in pattern.finditer(text)]
     if "[" in text or "(" in text:
         out += [(m.start(), m.end(), "spelled") for m in SPELLED.finditer(text)]
@@ -151,7 +155,7 @@ def votes(text: str, start: int, end: int, kind: str) -> tuple[int, ...]:
     elif kind == "card":
         known = 1 if s[0] in "3456" else 0
     elif kind == "secret":
-        known = 1 if KEY.search(before.rstrip("\"' =:")) else 0
+        known = 1 if KEY.search(before.rstrip("\"' =:")) or ISSUED.fullmatch(s) else 0
     elif kind == "spelled":
         known = int(re.split(r"[^a-z]+", s.lower())[-1] in ENDINGS)
     else:
