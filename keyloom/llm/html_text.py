@@ -46,7 +46,7 @@ NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertisements adbox sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe "
     "subscription sidebar aside nav navbar navigation menu menus submenu breadcrumb breadcrumbs footer header masthead comment comments commentlist disqus respond reply replies share sharing social related pagination pager "
-    "toolbar widget widgets login signup".split()
+    "toolbar widget widgets login signup responses discussion alert topbar sitenav topnav mainnav subnav navlinks skiplink skiplinks colophon copyright imprint".split()
 )
 BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements that are text themselves: no template is found among them.
