@@ -109,6 +109,19 @@ def test_raw_records_round_trip_and_trim(spark, tmp_path):
     assert [(bytes(r["key"]), r["seq"]) for r in kept] == [(bytes(8), 0), (k8(9), 1), (bytes(8), 2)]
 
 
+def test_raw_records_as_a_data_source(spark, tmp_path, monkeypatch):
+    from keyloom.sources import records
+
+    log = rows_of(spark, [(bytes([i % 3]) + k8(i)[1:], i // 3, b"") for i in range(60)])
+    raw.write_records(log, str(tmp_path / "raw"))
+    (tmp_path / "raw" / "wal-9").write_bytes(bytes(12) + k8(9) + (1).to_bytes(4, "little") + bytes(36))
+    records.register(spark)
+    got = spark.read.format("wal12").load(str(tmp_path / "raw"))
+    want = [(bytes(r["key"]), r["seq"]) for r in log.collect()] + [(bytes(8), 0), (k8(9), 1)]
+    assert sorted((bytes(r["key"]), r["seq"]) for r in got.collect()) == sorted(want)
+    assert spark.read.format("wal12").option("trim", "false").load(str(tmp_path / "raw" / "wal-9")).count() == 5
+
+
 def test_streaming_latest_equals_batch(spark, tmp_path):
     path = str(tmp_path / "log")
     for b in range(3):
