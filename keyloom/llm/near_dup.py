@@ -191,7 +191,8 @@ def classes(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
     sk = work.stage(sketch(docs), "sketch")
     cls = work.stage(sk.filter("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes")
     posted = cls.select("id", F.posexplode("sig").alias("k", "v")).select("id", F.shiftleft(F.col("k").cast("bigint"), 32).bitwiseOR(F.col("v").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))).alias("e"))
-    df = posted.groupBy("e").count().filter("count > 1")
+    # counts are joined from a table: both sides are then plain exchanges, and a pair on very many documents is split
+    df = work.stage(posted.groupBy("e").count().filter("count > 1"), "frequent")
     shared = posted.join(df, "e").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("count", "e"))).alias("l"), F.sum("count").alias("pop")).filter(F.size("l") >= T)
     pre = shared.select("id", "pop", F.transform(F.slice("l", F.lit(1), F.size("l") - T + 1), lambda x: x["e"]).alias("prefix"))
     pre = work.stage(pre.join(cls.select("id", "n", "sig"), "id"), "prefix")
@@ -210,14 +211,14 @@ def classes(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
     pre_c = work.stage(pre.select("id", "n", "sig", "prefix").join(first.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "sig", "prefix", comp("id").alias("comp")), "placed")
     # lists with members of several components tie these to loose groups
     seen = pre_c.select("comp", F.explode("prefix").alias("e")).distinct()
-    low = seen.groupBy("e").agg(F.min("comp").alias("low"), F.count("*").alias("c")).filter("c > 1")
+    low = work.stage(seen.groupBy("e").agg(F.min("comp").alias("low"), F.count("*").alias("c")).filter("c > 1"), "low")
     ties = seen.join(low, "e").filter("comp != low").select(F.col("comp").alias("a"), F.col("low").alias("b")).distinct()
     loose = work.stage(components(ties, work, "cc2"), "loose")
     groups = pre_c.select("id", "n", "sig", "comp").join(loose.select(F.col("node").alias("comp"), F.col("component").alias("grp")), "comp")
     more = work.stage(_rest(groups, sets), "links-2")
     final = work.stage(components(links.unionAll(more), work, "cc3"), "final")
     of = cls.select("n", "f1", "f2", "id").join(final.withColumnRenamed("node", "id"), "id", "left").select("n", "f1", "f2", comp("id").alias("component_id"))
-    work.drop("prefix", "hubs", "best", "sets", "first", "placed", "loose")
+    work.drop("frequent", "low", "prefix", "hubs", "best", "sets", "first", "placed", "loose")
     return sk, of
 
 
