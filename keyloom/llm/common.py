@@ -41,6 +41,10 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Files of a small table, and rows for which it gets another.
+FEW_FILES, ROWS_A_FILE = 12, 20_000
+
+
 class Workspace:
     """Tables that an operator writes to the shared folder to cut lineage. They outlive lost executors."""
 
@@ -48,8 +52,11 @@ class Workspace:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self.close)
 
-    def stage(self, df: DataFrame, name: str) -> DataFrame:
+    def stage(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """Write and read again. rows: about how many, if that is known; small tables then are few files, however many partitions made them."""
         path = f"{self.root}/{name}"
+        if rows is not None:
+            df = df.coalesce(FEW_FILES + rows // ROWS_A_FILE)
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

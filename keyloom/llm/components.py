@@ -29,13 +29,13 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
 
 
-def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
-    """(node, component) of every node that has an edge; the component is its smallest node."""
-    edges = work.stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), f"{name}-0")
+def components(edges: DataFrame, work: Workspace, name: str, rows: int | None = None) -> DataFrame:
+    """(node, component) of every node that has an edge; the component is its smallest node. rows: about how many edges, if known."""
+    edges = work.stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), f"{name}-0", rows)
     before, step = _mark(edges), 0
     while before[0]:
         step += 1
-        edges = work.stage(_small_star(_large_star(edges)), f"{name}-{step}")
+        edges = work.stage(_small_star(_large_star(edges)), f"{name}-{step}", before[0])  # a step adds no edges
         now = _mark(edges)
         work.drop(f"{name}-{step - 1}")
         if now == before:

@@ -14,8 +14,8 @@
 4. The rest: lists whose members lie in several components so far join these to loose groups. Inside a group every pair of
    documents from different components that can reach the threshold is tried: an inverted index over the rarest shingles (an
    exact prefix filter on sets), then agreements >= T, then the sets. Pairs are counted inside a task; only links that join two
-   components are emitted. Groups are cut into blocks of at most BLOCK_SHINGLES, every pair of blocks meets, and the largest
-   component of a group is not held against itself.
+   components are emitted. Groups are cut into blocks of at most BLOCK_SHINGLES, small ones too, into up to SPREAD blocks of
+   BLOCK_DOCS; every pair of blocks meets, and the largest component of a group is not held against itself.
 
 So no pair is lost to a cap, and neither copies nor near copies are expanded into all pairs.
 
@@ -41,6 +41,8 @@ SHINGLE, K, T = 5, 64, 32
 LEAST = 75
 #: Shingles (8 bytes each) of the documents of one block; two blocks meet in a task.
 BLOCK_SHINGLES = 1_500_000
+#: A group of fewer shingles is dealt to so many tasks' blocks, of some documents each, so that no task has the whole of it.
+SPREAD, BLOCK_DOCS = 8, 200
 MULTIPLIERS = np.random.default_rng(20).integers(1, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 _HASH: list[WordHash] = []
@@ -162,8 +164,13 @@ def meet(ids: np.ndarray, side: np.ndarray, comp: np.ndarray, sigs: np.ndarray,
 
 def _rest(groups: DataFrame, sets: DataFrame) -> DataFrame:
     """Links inside loose groups. groups: id, comp, grp, n, sig."""
-    sizes = groups.groupBy("grp", "comp").agg(F.sum("n").alias("n"))
-    largest = sizes.groupBy("grp").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all")).select("grp", F.col("top.comp").alias("top"), F.ceil(F.col("top.n") / BLOCK_SHINGLES).cast("int").alias("nc"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("top.n")) / BLOCK_SHINGLES)).cast("int").alias("nx"))
+    sizes = groups.groupBy("grp", "comp").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+    whole = sizes.groupBy("grp").agg(F.max(F.struct("n", "comp", "docs")).alias("top"), F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+    def parts(n: F.Column, docs: F.Column) -> F.Column:
+        return F.greatest(F.lit(1), F.ceil(n / BLOCK_SHINGLES), F.least(F.lit(SPREAD), F.ceil(docs / BLOCK_DOCS))).cast("int")
+
+    largest = whole.select("grp", F.col("top.comp").alias("top"), parts(F.col("top.n"), F.col("top.docs")).alias("nc"), parts(F.col("n") - F.col("top.n"), F.col("docs") - F.col("top.docs")).alias("nx"))
     g = groups.join(largest, "grp")
     main = F.col("comp") == F.col("top")
     block = F.when(main, F.pmod(F.xxhash64("id"), F.col("nc"))).otherwise(F.pmod(F.xxhash64("id"), F.col("nx"))).cast("int")
@@ -189,36 +196,38 @@ def _rest(groups: DataFrame, sets: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
     """(sketch, class to component): class key n, f1, f2, its representative and component."""
     sk = work.stage(sketch(docs), "sketch")
-    cls = work.stage(sk.filter("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes")
+    cls = work.stage(sk.filter("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes", sk.count())
+    n = cls.count()
     posted = cls.select("id", F.posexplode("sig").alias("k", "v")).select("id", F.shiftleft(F.col("k").cast("bigint"), 32).bitwiseOR(F.col("v").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))).alias("e"))
     # counts are joined from a table: both sides are then plain exchanges, and a pair on very many documents is split
-    df = work.stage(posted.groupBy("e").count().filter("count > 1"), "frequent")
+    df = work.stage(posted.groupBy("e").count().filter("count > 1"), "frequent", 4 * n)
     shared = posted.join(df, "e").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("count", "e"))).alias("l"), F.sum("count").alias("pop")).filter(F.size("l") >= T)
     pre = shared.select("id", "pop", F.transform(F.slice("l", F.lit(1), F.size("l") - T + 1), lambda x: x["e"]).alias("prefix"))
-    pre = work.stage(pre.join(cls.select("id", "n", "sig"), "id"), "prefix")
+    pre = work.stage(pre.join(cls.select("id", "n", "sig"), "id"), "prefix", 8 * n)
+    n = pre.count()
     postings = pre.select("id", "pop", F.explode("prefix").alias("e"))
     hubs = postings.groupBy("e").agg(F.max(F.struct("pop", "id")).alias("h1"), F.min(F.struct(F.xxhash64("e", "id").alias("h"), "id")).alias("h2"), F.count("*").alias("c")).filter("c > 1")
-    hubs = work.stage(hubs.select("e", F.col("h1.id").alias("h1"), F.col("h2.id").alias("h2")), "hubs")
+    hubs = work.stage(hubs.select("e", F.col("h1.id").alias("h1"), F.col("h2.id").alias("h2")), "hubs", 4 * n)
     near = postings.select("id", "e").join(hubs, "e").select("id", F.explode(F.array_distinct(F.array("h1", "h2"))).alias("hub")).filter("id != hub").distinct()
     near = near.join(pre.select("id", F.col("sig").alias("sa")), "id").join(pre.select(F.col("id").alias("hub"), F.col("sig").alias("sb")), "hub")
     best = near.select("id", "hub", agreements("sa", "sb").alias("m")).filter(F.col("m") >= T).groupBy("id").agg(F.max(F.struct("m", "hub")).alias("x")).select("id", F.col("x.hub").alias("hub"))
-    best = work.stage(best.select(F.col("id").alias("a"), F.col("hub").alias("b")), "best")
+    best = work.stage(best.select(F.col("id").alias("a"), F.col("hub").alias("b")), "best", 8 * n)
     members = pre.select("id").distinct()
     sets = work.stage(_sets(docs, members), "sets")
-    links = work.stage(_confirm(best, sets), "links-1")
-    first = work.stage(components(links, work, "cc1"), "first")
+    links = work.stage(_confirm(best, sets), "links-1", 16 * n)
+    first = components(links, work, "cc1", n)
     comp = lambda x: F.coalesce("component", x)
-    pre_c = work.stage(pre.select("id", "n", "sig", "prefix").join(first.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "sig", "prefix", comp("id").alias("comp")), "placed")
+    pre_c = work.stage(pre.select("id", "n", "sig", "prefix").join(first.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "sig", "prefix", comp("id").alias("comp")), "placed", 4 * n)
     # lists with members of several components tie these to loose groups
     seen = pre_c.select("comp", F.explode("prefix").alias("e")).distinct()
-    low = work.stage(seen.groupBy("e").agg(F.min("comp").alias("low"), F.count("*").alias("c")).filter("c > 1"), "low")
+    low = work.stage(seen.groupBy("e").agg(F.min("comp").alias("low"), F.count("*").alias("c")).filter("c > 1"), "low", 2 * n)
     ties = seen.join(low, "e").filter("comp != low").select(F.col("comp").alias("a"), F.col("low").alias("b")).distinct()
-    loose = work.stage(components(ties, work, "cc2"), "loose")
+    loose = components(ties, work, "cc2", n)
     groups = pre_c.select("id", "n", "sig", "comp").join(loose.select(F.col("node").alias("comp"), F.col("component").alias("grp")), "comp")
     more = work.stage(_rest(groups, sets), "links-2")
-    final = work.stage(components(links.unionAll(more), work, "cc3"), "final")
+    final = components(links.unionAll(more), work, "cc3", n)
     of = cls.select("n", "f1", "f2", "id").join(final.withColumnRenamed("node", "id"), "id", "left").select("n", "f1", "f2", comp("id").alias("component_id"))
-    work.drop("frequent", "low", "prefix", "hubs", "best", "sets", "first", "placed", "loose")
+    work.drop("frequent", "low", "prefix", "hubs", "best", "sets", "placed")
     return sk, of
 
 
@@ -241,7 +250,7 @@ def near_duplicates(docs: DataFrame, work: Workspace | None = None) -> DataFrame
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without those that are near-duplicates of one with a smaller doc_id; columns as they are."""
     work = Workspace(docs.sparkSession, "neardup")
-    found = work.stage(near_duplicates(docs, work), "result")
+    found = work.stage(near_duplicates(docs, work), "result", docs.select("doc_id").count())
     gone = found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     gone = broadcast_if_few(gone)  # else the texts would move
     kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

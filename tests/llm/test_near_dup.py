@@ -67,6 +67,7 @@ def test_links_at_the_threshold(spark):
 def test_groups_of_near_copies_that_hardly_link(spark, monkeypatch, block):
     """Copies at distances around the threshold, exact copies, and a passage that all documents share."""
     monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(near_dup, "BLOCK_DOCS", 40)
     rng = random.Random(5)
     base, passage = [f"b{k}" for k in range(120)], " ".join(f"p{k}" for k in range(40))
     rows = [(1000 + k, edited(base, rng, rng.randrange(0, 9))) for k in range(150)]
