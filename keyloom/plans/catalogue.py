@@ -292,8 +292,14 @@ def kv_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(SQL_LOG.rstrip(", ") + f" SELECT k, CAST({SQL_SHARD} AS BIGINT) AS shard, CAST(row_number() OVER (PARTITION BY {SQL_SHARD} ORDER BY seq) - 1 AS BIGINT) AS seq FROM log WHERE {SQL_SHARD} < 256")
 def kv_raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Written as raw 12-byte records by shard, read back and trimmed. (The raw format is for shards below 256 here, to keep files few.)"""
-    rows = events_log(spark, sf_dir).select("key", F.col("seq").alias("event_id")).filter(F.col("key") < F.lit(LOW))
+    """All shards are written as raw 12-byte records, read back and trimmed; the result has the shards its SQL names, those below 256."""
+    return kv_raw_log_all(spark, sf_dir).filter(F.col("shard") < 256)
+
+
+@query(SQL_LOG.rstrip(", ") + f" SELECT k, CAST({SQL_SHARD} AS BIGINT) AS shard, CAST(row_number() OVER (PARTITION BY {SQL_SHARD} ORDER BY seq) - 1 AS BIGINT) AS seq FROM log")
+def kv_raw_log_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as raw 12-byte records, one file a shard, read back and trimmed."""
+    rows = events_log(spark, sf_dir).select("key", F.col("seq").alias("event_id"))
     folder = scratch(spark, "raw")
     raw.write_records(views.sequenced(rows, "event_id"), folder)
     records = raw.trimmed(raw.read_records_by_file(spark, folder))
