@@ -43,6 +43,11 @@ def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("key", F.col("event_id").alias("seq"), F.concat(F.hex("key"), F.lit("|"), "event_type", F.lit("|"), "props").alias("value"))
 
 
+def customer_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys to look up: all customers, some of whom have events."""
+    return table(spark, sf_dir, "customer").select(codec.digest_key("c_custkey").alias("key"))
+
+
 def asked_keys(spark: SparkSession, sf_dir: str, most: int = 400) -> DataFrame:
     """Keys to look up: customers below a number, some of whom have events."""
     return table(spark, sf_dir, "customer").filter(F.col("c_custkey") < most).select(codec.digest_key("c_custkey").alias("key"))
@@ -125,6 +130,30 @@ def kv_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.missing(views.index(events_log(spark, sf_dir)), asked_keys(spark, sf_dir).distinct()).select(F.hex("key").alias("k"))
 
 
+SQL_CUSTOMERS = "asked AS (SELECT DISTINCT upper(substr(md5(CAST(c_custkey AS VARCHAR)), 1, 16)) AS k FROM customer) "
+
+
+@query(SQL_LATEST + ", " + SQL_CUSTOMERS + "SELECT a.k, l.seq, l.v, CAST(l.seq IS NOT NULL AS BIGINT) AS found FROM asked a LEFT JOIN latest l ON a.k = l.k")
+def kv_multi_get_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = views.multi_get(views.latest(events_log(spark, sf_dir)), customer_keys(spark, sf_dir))
+    return found.select(F.hex("key").alias("k"), "seq", F.col("value").alias("v"), "found")
+
+
+@query(SQL_LATEST + ", " + SQL_CUSTOMERS + "SELECT count(*) AS asked, CAST(count(l.k) AS BIGINT) AS hits, CAST(count(*) - count(l.k) AS BIGINT) AS misses FROM asked a LEFT JOIN latest l ON a.k = l.k")
+def kv_hit_count_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.hit_count(views.multi_get(views.latest(events_log(spark, sf_dir)), customer_keys(spark, sf_dir)))
+
+
+@query(SQL_LATEST + ", " + SQL_CUSTOMERS + "SELECT a.k FROM asked a SEMI JOIN latest l ON a.k = l.k")
+def kv_found_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.found(views.index(events_log(spark, sf_dir)), customer_keys(spark, sf_dir).distinct()).select(F.hex("key").alias("k"))
+
+
+@query(SQL_LATEST + ", " + SQL_CUSTOMERS + "SELECT a.k FROM asked a ANTI JOIN latest l ON a.k = l.k")
+def kv_missing_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.missing(views.index(events_log(spark, sf_dir)), customer_keys(spark, sf_dir).distinct()).select(F.hex("key").alias("k"))
+
+
 def _ranged(spark: SparkSession, sf_dir: str, lower: bytes | None, upper: bytes | None) -> DataFrame:
     view = views.latest(events_log(spark, sf_dir))
     return rows_of(views.positioned(views.range_scan(view, lower, upper)))

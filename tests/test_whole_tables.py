@@ -1,5 +1,9 @@
 """Queries that take a whole table, where the smallest tables would not show a part."""
 
+import duckdb
+import pytest
+
+from keyloom.operators import views
 from keyloom.plans import catalogue
 from keyloom.sources import raw
 
@@ -12,3 +16,19 @@ def test_all_shards_are_written_as_raw_records(spark, sf_dir, monkeypatch):
     assert sum(n for _, n in counts[0]) == events and max(shard for shard, _ in counts[0]) >= 256
     assert shown.filter("shard >= 256").count() == 0
     assert catalogue.kv_raw_log_all(spark, sf_dir).count() == events
+
+
+@pytest.mark.parametrize("bound", [200_000, 100])
+@pytest.mark.parametrize("name", ["kv_multi_get_all", "kv_hit_count_all", "kv_found_all", "kv_missing_all"])
+def test_lookups_ask_for_all_customers(spark, sf_dir, monkeypatch, name, bound):
+    """With keys that are broadcast and with keys that are joined by shuffle."""
+    monkeypatch.setattr(views, "BROADCAST_KEYS", bound)
+    larger = sf_dir.replace("sf0.001", "sf0.01")
+    duck = duckdb.connect()
+    for t in ("customer", "events"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{larger}/{t}.parquet'")
+    result = duck.execute(catalogue.ORACLE[name])
+    columns = [d[0] for d in result.description]
+    want = sorted(result.fetchall(), key=repr)
+    assert sorted((tuple(r) for r in catalogue.QUERIES[name](spark, larger).select(columns).collect()), key=repr) == want
+    assert catalogue.customer_keys(spark, larger).count() == 1500
