@@ -6,9 +6,11 @@ sums, ranges, lengths), gazetteer (known prefixes, endings and key words), conte
 characters). Equal patterns of kind, votes and length are counted over all documents; their number is bounded by the kinds and
 votes, so it is those counts that reach the driver. There EM (one latent class a span, a prior for each kind, two rates for
 each labeler) gives each pattern its probability, and a logistic classifier is fitted to these. Its weights go to a second pass
-over the texts, which adds the candidates of probability 1/2 or more that touch no base span.
+over the texts, which adds the candidates of probability 1/2 or more that touch no base span; of a secret that touches some, its
+parts of LEAST_VALUE characters or more between them. A secret has no greatest length.
 
-Matching is linear in the text: patterns start at "@", "+", "=", ":" or at the first digit of a run.
+Matching is linear in the text: patterns start at "@", "+", "=", ":" or at the first digit of a run, and a value that holds
+further key words is read once.
 
 Defined results: a null text is empty: no spans, the hash of the empty string. Offsets are code points, ends exclusive. Rows that
 repeat are each answered. A corpus without candidates adds nothing. Other columns are ignored.
@@ -44,11 +46,12 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 
 KEY = re.compile(r"(?i)(password|passwd|passphrase|pwd|secret|token|credential|api[_-]?key|access[_-]?key|auth)[\"']?[\x20\t]*\Z")
-VALUE = re.compile(r"[\x20\t]*[\"']?([^\s\"'<>,;&]{6,128})")
-HEX = re.compile(r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])")
+LEAST_VALUE = 6
+VALUE = re.compile(r"[\x20\t]*[\"']?([^\s\"'<>,;&]{%d,})" % LEAST_VALUE)
+HEX = re.compile(r"(?<![0-9A-Za-z])[0-9a-f]{32,}(?![0-9A-Za-z])")
 #: Access keys of known makes, by their prefixes.
 ISSUED = re.compile(
-    r"(?<![0-9A-Za-z_-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,255}|sk-[0-9A-Za-z_-]{20,255}|xox[abprs]-[0-9A-Za-z-]{10,255}|AIza[0-9A-Za-z_-]{35}|eyJ[0-9A-Za-z_-]{10,4096}\.[0-9A-Za-z_-]{10,4096}\.[0-9A-Za-z_-]{10,4096})(?![0-9A-Za-z_-])"
+    r"(?<![0-9A-Za-z_-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|sk-[0-9A-Za-z_-]{20,}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}|eyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,})(?![0-9A-Za-z_-])"
 )
 IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[0-9A-Z]{4}){2,7}(?:\x20?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
@@ -113,10 +116,15 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def other_candidates(text: str) -> list[tuple[int, int, str]]:
     """Spans that the classifier may add."""
-    out = []
+    out, end = [], 0
     for m in re.finditer("[=:]", text):
-        if KEY.search(text, max(0, m.start() - 32), m.start()) and (v := VALUE.match(text, m.end())):
-            out.append((v.start(1), v.end(1), "secret"))
+        if KEY.search(text, max(0, m.start() - 32), m.start()):
+            if m.end() < end:  # inside the value before: a value from here ends where that does and is not read again
+                if end - m.end() >= LEAST_VALUE:
+                    out.append((m.end(), end, "secret"))
+            elif v := VALUE.match(text, m.end()):
+                end = v.end(1)
+                out.append((v.start(1), end, "secret"))
     if DIGIT.search(text):
         for kind, pattern in (("secret", HEX), ("secret", ISSUED), ("iban", IBAN), ("ssn", SSN), ("national", NATIONAL)):
             out += [(m.start(), m.end(), kind) for m in pattern.finditer(text)]
@@ -230,7 +238,7 @@ def learn(docs: DataFrame) -> Model:
         seen: Counter[str] = Counter()
         for t in texts(batch):
             base = base_spans(t)
-            for span in base + clear_of(other_candidates(t), base):
+            for span in base + [whole for whole, _ in clear_of(other_candidates(t), base)]:
                 seen[pattern_of(t, span)] += 1
         return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "n"])
 
@@ -238,22 +246,37 @@ def learn(docs: DataFrame) -> Model:
     return Model({r["pattern"]: r["n"] for r in counts.collect()})  # at most kinds x 3^labelers x 4 rows
 
 
-def clear_of(spans: list[tuple[int, int, str]], base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """The spans that touch no base span. Both ascend by start."""
-    out, ends, k, reach = [], sorted((a, b) for a, b, _ in base), 0, 0
+def clear_of(spans: list[tuple[int, int, str]], base: list[tuple[int, int, str]]) -> list[tuple[tuple[int, int, str], list[tuple[int, int, str]]]]:
+    """The spans that touch no base span, each with itself as its one part; and secrets that do, with their parts between base spans.
+
+    Spans are disjoint, and both ascend by start.
+    """
+    union: list[list[int]] = []
+    for a, b in sorted((a, b) for a, b, _ in base):
+        if union and a <= union[-1][1]:
+            union[-1][1] = max(union[-1][1], b)
+        else:
+            union.append([a, b])
+    out, k = [], 0
     for a, b, kind in spans:
-        while k < len(ends) and ends[k][0] < b:
-            reach = max(reach, ends[k][1])
+        while k < len(union) and union[k][1] <= a:
             k += 1
-        if reach <= a:
-            out.append((a, b, kind))
+        if k == len(union) or union[k][0] >= b:
+            out.append(((a, b, kind), [(a, b, kind)]))
+        elif kind == "secret":
+            at, parts, j = a, [], k
+            while j < len(union) and union[j][0] < b:
+                parts.append((at, union[j][0], kind))
+                at, j = union[j][1], j + 1
+            if parts := [x for x in (*parts, (at, b, kind)) if x[1] - x[0] >= LEAST_VALUE]:
+                out.append(((a, b, kind), parts))
     return out
 
 
 def spans_of(text: str, model: Model) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans, and all spans, in order."""
     base = base_spans(text)
-    added = [x for x in clear_of(other_candidates(text), base) if model.probability(pattern_of(text, x)) >= THRESHOLD]
+    added = [x for whole, parts in clear_of(other_candidates(text), base) if model.probability(pattern_of(text, whole)) >= THRESHOLD for x in parts]
     return base, sorted(base + added, key=lambda x: (x[0], ORDER[x[2]])) if added else base
 
 

@@ -90,6 +90,38 @@ def test_linear_on_long_runs():
     assert time.time() - began < 15
 
 
+def test_long_secrets_are_whole(spark):
+    rng = random.Random(8)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    token, digest, issued = draw("abcdefghXYZ0123_-", 280), draw("abcdef", 64) + draw("ab12", 64), "sk-" + draw("abcdefXYZ012", 400)
+    web = f"eyJ{draw('abcXYZ012', 5000)}.{draw('abcXYZ012', 6000)}.{draw('abcXYZ012', 300)}"
+    rows = [(30, f"session_token={token} end"), (31, f"sum {digest} end"), (32, f"use {issued} end"), (33, f"use {web} end"), (34, f"session_token={token}/10.0.0.1/{token} end"), (35, f"token={token}=secret={token} end")]
+    docs = documents(spark, [*TEXTS, *rows])
+    got = {r["doc_id"]: r["text"] for r in pii.redact(docs, pii.learn(docs)).collect()}
+    assert got[30] == "session_token=[SECRET] end" and got[35] == "token=[SECRET] end"
+    assert got[31] == "sum [SECRET] end" and got[32] == "use [SECRET] end" and got[33] == "use [SECRET] end"
+    assert got[34] == "session_token=[SECRET][IP][SECRET] end"
+
+
+def test_values_equal_a_plain_search():
+    rng = random.Random(9)
+    for _ in range(4000):
+        t = "".join(rng.choice(["token=", "pwd:", "auth", "=", ":", " ", "ab", "x", "'", ";"]) for _ in range(rng.randrange(20)))
+        want = {(v.start(1), v.end(1)) for m in re.finditer("[=:]", t) if pii.KEY.search(t, max(0, m.start() - 32), m.start()) and (v := pii.VALUE.match(t, m.end()))}
+        end, kept = -1, []
+        for a, b in sorted(want):
+            if a >= end:
+                kept, end = [*kept, (a, b, "secret")], b
+        assert pii.other_candidates(t) == kept, t
+
+
+def test_long_secrets_are_linear():
+    m, began = pii.Model({}), time.time()
+    for t in ("token=" * 50_000, "token:" + "a1" * 150_000, "ghp_" + "a1" * 150_000 + "_", "eyJaaaaaaaaaaa1." * 20_000, "eyJ" + "a1" * 100_000 + "." + "a" * 100_000, "a1" * 100_000 + "x", "xoxb-1aaaaaaaaa" * 20_000 + "_"):
+        pii.spans_of(t, m)
+    assert time.time() - began < 15
+
+
 def test_empty(spark):
     docs = documents(spark, TEXTS).filter("false")
     assert pii.find(docs, pii.learn(docs)).count() == 0
