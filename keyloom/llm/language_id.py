@@ -4,9 +4,9 @@ Every byte position of the lower-cased UTF-8 text is labelled: the position's cl
 backward state. A document's probabilities are the mean over all its positions; the largest is its language and score. Texts
 go through the network in windows of STEPS bytes that cover each position once, many windows side by side.
 
-Learning: rows with a language whose crc32(doc_id as text) mod 4 is not 2. Of each language PER_LANGUAGE rows (chosen by a
-hash of their id, WINDOWS windows at hashed places of the whole text each) and at most MAX_LANGUAGES languages, the commonest,
-are learnt from; that sample's size is bounded and is all that reaches the driver. The input is the text alone.
+Learning: rows with a language whose crc32(doc_id as text) mod 4 is not 2. Of each language, however many there are,
+PER_LANGUAGE rows (chosen by a hash of their id, WINDOWS windows at hashed places of the whole text each) are learnt from; that
+sample, bounded for each language, is all that reaches the driver. The input is the text alone.
 
 Defined results: `und` with score 0 for a null text or one without a letter, or if there was nothing to learn from. A null
 doc_id is not held out and not learnt from. Repeated rows are each answered. Other columns are ignored.
@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from keyloom.llm.common import map_batches
 
 HIDDEN, STEPS, SIDE_BY_SIDE = 8, 64, 1024
-PER_LANGUAGE, WINDOWS, MAX_LANGUAGES = 500, 4, 64
+PER_LANGUAGE, WINDOWS = 500, 4
+#: Languages up to which SIDE_BY_SIDE windows go together; of more, fewer do, so that their probabilities take no more memory.
+AT_FULL_WIDTH = 64
 EPOCH_STEPS, TRAIN_BATCH, RATE = 300, 256, 0.02
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -171,8 +173,9 @@ class Network:
         start = np.minimum(k * STEPS, np.maximum(size[doc] - STEPS, 0))
         low, high = k * STEPS - start, np.minimum(size[doc] - start, STEPS)
         at = np.arange(STEPS)[:, None]
-        for i in range(0, len(doc), SIDE_BY_SIDE):
-            j = slice(i, i + SIDE_BY_SIDE)
+        width = max(1, SIDE_BY_SIDE * AT_FULL_WIDTH // max(AT_FULL_WIDTH, len(self.languages)))
+        for i in range(0, len(doc), width):
+            j = slice(i, i + width)
             x = data[(begin[doc[j]] + start[j])[None, :] + at]
             inside = at < high[j]
             p = self.sums(np.where(inside, x, 0), (inside & (at >= low[j])).astype(np.float32))
@@ -184,11 +187,11 @@ class Network:
 def learn(docs: DataFrame) -> Network | None:
     """Train on the bounded sample; None if no row can be learnt from."""
     known = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("doc_id is not null and lang is not null").filter(~held_out())
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return None
-    share = F.create_map([x for k, n in counts.items() for x in (F.lit(k), F.lit(int((1 << 30) * min(1.0, 1.3 * PER_LANGUAGE / n))))])
-    picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0)))
+    share = docs.sparkSession.createDataFrame([(k, int((1 << 30) * min(1.0, 1.3 * PER_LANGUAGE / n))) for k, n in counts.items()], "lang string, share bigint")
+    picked = known.join(F.broadcast(share), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share")).select("doc_id", "text", "lang")
 
     def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -213,7 +216,9 @@ def learn(docs: DataFrame) -> Network | None:
     if not languages:
         return None
     # each language is drawn as often as any other
-    by = {k: [raw for lang, raw in sample if lang == k] for k in languages}
+    by: dict[str, list[bytes]] = {k: [] for k in languages}
+    for lang, raw in sample:
+        by[lang].append(raw)
     largest = max(map(len, by.values()))
     even = [(c, by[k][i % len(by[k])]) for c, k in enumerate(languages) for i in range(largest)]
     x = np.frombuffer(b"".join(raw.ljust(STEPS, b"\0") for _, raw in even), dtype=np.uint8).reshape(-1, STEPS)

@@ -89,6 +89,18 @@ def test_awkward_rows(spark):
     assert kept.schema == docs.schema and {1, 2, 3, 11}.isdisjoint({r["doc_id"] for r in kept.collect()})
 
 
+def test_every_language_is_learnt(spark):
+    names = [f"l{k:02}" for k in range(70)]  # the last ones have the fewest rows
+    word = {lang: chr(0x4E00 + 64 * (k // 10)) + chr(0x3041 + k % 10) for k, lang in enumerate(names)}  # letters without case
+    rows = [(1000 * k + i, f"{word[lang]} " * 12, lang) for k, lang in enumerate(names) for i in range(8 if k < 64 else 6)]
+    docs = documents(spark, rows)
+    network = li.learn(docs)
+    assert network.languages == names
+    lang = {r[0]: r[2] for r in rows}
+    late = [(r["lang_pred"], lang[r["doc_id"]]) for r in li.identify(docs, network).collect() if lang[r["doc_id"]] >= "l64"]
+    assert sum(a == b for a, b in late) > len(late) / 2
+
+
 def test_nothing_to_learn_from(spark):
     docs = documents(spark, [(1, "text", None), (2, "text", None)])
     assert li.learn(docs) is None
