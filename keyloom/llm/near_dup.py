@@ -248,13 +248,29 @@ def near_duplicates(docs: DataFrame, work: Workspace | None = None) -> DataFrame
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without those that are near-duplicates of one with a smaller doc_id; columns as they are."""
+    """The documents without those that are near-duplicates of one with a smaller doc_id; columns as they are.
+
+    If a doc_id repeats, each row is a document of its own, in the order of doc_id, text and other columns: different texts under
+    one id all stay, of equal or near ones (and of those without words under one id) the first.
+    """
     work = Workspace(docs.sparkSession, "neardup")
+    if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        return _keep_one_row(docs, work)
     found = work.stage(near_duplicates(docs, work), "result", docs.select("doc_id").count())
-    gone = found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = found.filter("not kept").select(F.col("doc_id").alias("_gone"))
     gone = broadcast_if_few(gone)  # else the texts would move
-    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():  # rows that repeat an id
-        same = kept.filter("doc_id is not null").dropDuplicates(["doc_id"])
-        kept = same.unionByName(kept.filter("doc_id is null"))
-    return kept
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+
+
+def _keep_one_row(docs: DataFrame, work: Workspace) -> DataFrame:
+    """As keep_one, by row numbers that keep the order of doc_id."""
+    sortable = [F.col(c) for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map<" not in kind and "variant" not in kind]
+    rows = work.stage(docs.sort(F.col("doc_id").asc_nulls_last(), "text", *sortable).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    numbered = rows.filter("doc_id is not null")
+    found = work.stage(near_duplicates(numbered.select(F.col("_row").alias("doc_id"), "text"), work), "result")
+    gone = found.filter("not kept").select(F.col("doc_id").alias("_gone"))
+    blank = numbered.join(found.filter("n_shingles = 0").select(F.col("doc_id").alias("_row")), "_row", "left_semi").select("doc_id", "_row")
+    first = blank.groupBy("doc_id").agg(F.min("_row").alias("_first"))
+    gone = gone.unionAll(blank.join(first, "doc_id").filter("_row > _first").select(F.col("_row").alias("_gone")))
+    gone = broadcast_if_few(work.stage(gone, "gone"))
+    return rows.join(gone, rows["_row"] == gone["_gone"], "left_anti").select(*docs.columns)

@@ -93,6 +93,14 @@ def test_keep_one_returns_the_same_columns(spark):
     assert kept.filter("doc_id is null").count() == 1 and kept.filter("doc_id = 5").count() == 1
 
 
+def test_different_texts_under_one_id_stay(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    near_b = b.replace("b39", "other")
+    rows = [(7, a), (7, b), (7, b), (3, a + " more"), (9, near_b), (9, c), (7, None), (7, " "), (8, ""), (None, b), (None, b)]
+    kept = [sorted((r["doc_id"] or 0, r["text"] or "") for r in near_dup.keep_one(documents(spark, order)).collect()) for order in (rows, rows[::-1])]
+    assert kept[0] == kept[1] == sorted([(7, b), (3, a + " more"), (9, c), (7, ""), (8, ""), (0, b), (0, b)])
+
+
 def test_empty_table(spark):
     assert near_dup.near_duplicates(documents(spark, AWKWARD).filter("false")).count() == 0
 
