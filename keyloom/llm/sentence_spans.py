@@ -2,8 +2,9 @@
 
 A sentence ends after ".", "!" or "?" (one or more) before white space, or at a line end. A sentence of more than LONG words is
 divided after its words of LONG_WORD characters or more, a part that still has more than LONG words after every WORDS words; the
-parts count as sentences. So a passage without marks, or one that starts in the middle of a sentence, has the same parts wherever
-it stands. From every sentence a run starts: it
+parts count as sentences. So the inner parts of a long passage without marks mostly agree wherever it stands, but whether a sentence
+is divided depends on its whole length: a passage that starts or ends in mid-sentence can lose its first and last sentence, and is
+not found if no two whole parts of WORDS words are left between. From every sentence a run starts: it
 and the sentences after it, SENTENCES of them at least and as many as make WORDS words (no run starts where the text ends
 first). Runs are equal if their words are, A-Z lower-cased. Of the occurrences of a run the first stays: the first in the
 document with the smallest doc_id. Sentences that any other occurrence covers are removed, all else stays byte for byte.
