@@ -45,11 +45,31 @@ def test_scan_equals_plain_version(spark):
     assert sorted((tuple(r) for r in got), key=repr) == plain(docs, ITEMS)
 
 
-def test_blocks_give_the_same(spark, monkeypatch):
-    monkeypatch.setattr(d, "BLOCK_CHARS", 60)
-    assert len(d.blocks(items_of(spark, ITEMS))) > 2
-    got = d.scan(documents(spark, DOCS), items_of(spark, ITEMS)).collect()
-    assert sorted((tuple(r) for r in got), key=repr) == plain(DOCS, ITEMS)
+def test_beyond_the_broadcast_bound_the_same(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(d, "BROADCAST_CHARS", 60)
+    docs = DOCS + AWKWARD
+    assert not d.Windows(items_of(spark, ITEMS)).small
+    got = d.scan(documents(spark, docs), items_of(spark, ITEMS)).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == plain(docs, ITEMS)
+    clean = d.decontaminate(documents(spark, docs), items_of(spark, ITEMS))
+    assert clean.schema == documents(spark, docs).schema
+    monkeypatch.setattr(d, "BROADCAST_CHARS", 8_000_000)
+    want = d.decontaminate(documents(spark, docs), items_of(spark, ITEMS)).collect()
+    assert sorted(map(repr, clean.collect())) == sorted(map(repr, want))
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    want = sorted(map(tuple, d.scan(docs, items).collect()))
+    monkeypatch.setattr(d, "BROADCAST_CHARS", 60)
+    assert sorted(map(tuple, d.scan(docs, items).collect())) == want
+
+
+def test_the_broadcast_is_a_few_bytes_a_character():
+    import random
+
+    rng = random.Random(3)
+    items = [(str(k), " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10**4)}" for _ in range(400))) for k in range(200)]
+    index = d.Index(items)
+    held = sum(x.nbytes for part in index.by_length.values() for x in part) + index.edge.nbytes + len(index.text)
+    assert held < 8 * sum(len(t) for _, t in items)
 
 
 def test_given_tables(spark, sf_dir):
