@@ -1,24 +1,29 @@
 """PII by weak supervision: labelers vote on candidate spans, expectation-maximisation weighs them, a classifier decides.
 
-Base spans (email, ip, card, phone) follow fixed patterns and always stay. Further candidates (secrets, account numbers and the
-like) come from wider patterns. On every candidate five labelers vote yes, no or abstain: form (a strict pattern), check (digit
-sums, ranges, lengths), gazetteer (known prefixes, endings and key words), context (words shortly before) and texture (mix of
-characters). Equal patterns of kind, votes and length are counted over all documents; their number is bounded by the kinds and
-votes, so it is those counts that reach the driver. There EM (one latent class a span, a prior for each kind, two rates for
-each labeler) gives each pattern its probability, and a logistic classifier is fitted to these. Its weights go to a second pass
-over the texts, which adds the candidates of probability 1/2 or more that touch no base span; of a secret that touches some, its
-parts of LEAST_VALUE characters or more between them. A secret has no greatest length.
-
-Matching is linear in the text: patterns start at "@", "+", "=", ":" or at the first digit of a run, and a value that holds
-further key words is read once.
-
-Defined results: a null text is empty: no spans, the hash of the empty string. Offsets are code points, ends exclusive. Rows that
-repeat are each answered. A corpus without candidates adds nothing. Other columns are ignored.
+Base spans (email, ip, card, phone) follow fixed patterns and always stay. Further candidates come from patterns that are wide on
+purpose: any long mixed token, any run of capitalised words, any number before one, any keyed value. Patterns alone are wrong about
+them in both directions, so on every candidate five labelers vote yes, no or abstain: form (a strict pattern), check (digit sums,
+ranges, variety), gazetteer (known prefixes, given names, kinds of streets, endings), context (cue words shortly before) and texture
+(mix of characters). Equal patterns of kind, votes and span features (length, share of digits, case, entropy, what stands before)
+are counted over all documents; their number is bounded by the kinds, votes and classes, so it is those counts that reach the
+driver. There EM (one latent class a span; for each kind a prior, and for each labeler two rates, anchored at right more often than
+wrong with a weight of ANCHOR of the kind's spans) gives each pattern its probability, and a logistic classifier on votes and span
+features is fitted to these. Its weights, not the patterns seen, go to a second pass over the texts, so a pattern that was never
+counted is judged too. Candidates of probability 1/2 or more that touch no base span are added; of a secret that touches some, its
+parts of LEAST_VALUE characters or more between them. No kind has a greatest length.
+
+Matching is linear in the text: patterns start at "@", "+", "=", ":", a bracketed "at" or at the first character of a run, and a
+value that holds further key words is read once.
+
+Defined results: a null text is empty: no spans, the hash of the empty string. Very long texts are read whole. Offsets are code
+points, ends exclusive. Rows that repeat are each answered. An empty table gives no rows; a corpus without candidates adds
+nothing. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -31,11 +36,13 @@ from pyspark.sql import functions as F
 from keyloom.llm.common import map_batches, texts
 
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("secret", "iban", "ssn", "national", "spelled")
+ADDED = ("secret", "iban", "ssn", "national", "spelled", "name", "address")
 KINDS = BASE + ADDED
 ORDER = {k: i for i, k in enumerate(KINDS)}
 LABELERS = ("form", "check", "gazetteer", "context", "texture")
 THRESHOLD = 0.5
+#: Share of a kind's spans that its labelers' anchors weigh, and the least weight.
+ANCHOR, LEAST_ANCHOR = 0.25, 5.0
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -44,6 +51,7 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
+LETTER = re.compile(r"[A-Za-z]")
 
 KEY = re.compile(r"(?i)(password|passwd|passphrase|pwd|secret|token|credential|api[_-]?key|access[_-]?key|auth)[\"']?[\x20\t]*\Z")
 LEAST_VALUE = 6
@@ -54,15 +62,30 @@ ISSUED = re.compile(
     r"(?<![0-9A-Za-z_-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|sk-[0-9A-Za-z_-]{20,}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}|eyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,})(?![0-9A-Za-z_-])"
 )
 IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[0-9A-Z]{4}){2,7}(?:\x20?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")
-SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-NATIONAL = re.compile(r"(?<![0-9])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9])")
-SPELLED = re.compile(r"[A-Za-z0-9_.+-]{1,64}\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{1,64}(?:\x20?[\[(](?:dot|DOT)[\])]\x20?[A-Za-z0-9-]{1,64})+")
+SSN = re.compile(r"(?<![0-9-])[0-9]{3}[-\x20][0-9]{2}[-\x20][0-9]{4}(?![0-9-])")
+NATIONAL = re.compile(r"(?<![0-9])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9])")
+#: The middle of an address that is spelled out.
+AT = re.compile(r"\x20?[\[(](?:at|AT)[\])]\x20?")
+SPELLED_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\x20?[\[(](?:dot|DOT)[\])]\x20?[A-Za-z0-9-]+)+")
+#: Candidates that are mostly no personal data: long tokens, capitalised words in a row, a number before one.
+TOKEN = re.compile(r"(?<![0-9A-Za-z_+/-])[0-9A-Za-z_+/-]{16,}={0,2}")
+NAME = re.compile(r"(?<![\w'’-])[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?:['’-][A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)*+(?:\x20[A-ZÀ-ÖØ-Þ](?:\.|[a-zß-öø-ÿ]+(?:['’-][A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)*+))+(?![\w'’-])")
+ADDRESS = re.compile(r"(?<![\w.,-])[0-9]{1,6}[A-Za-z]?,?\x20[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?:\x20[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)*+(?!\w)|(?<!\w)[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?:\x20[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)*+\x20[0-9]{1,5}[a-z]?(?![\w.,-]*[0-9])")
 
 ENDINGS = frozenset("com org net edu gov io de fr es uk info biz co".split())
+# Common given names of the four languages, in natural order; kinds of streets.
+GIVEN = frozenset(
+    "adam alan albert alejandro alice amelia ana anders andrea andreas angela anna anne antonio barbara benjamin bernard carla carlos carmen caroline catherine charles charlotte christian christine claire claudia claus daniel david diana "
+    "diego dorothy edward elena elizabeth emily emma eric erik eva felix fernando francisco frank gabriel george grace hans heinrich helen helga henry ines ingrid isabel jack jacques james jan jane javier jean jennifer joan john jonas jorge jose "
+    "joseph juan julia julie jurgen karen karl katrin klaus laura lena linda lisa louis louise lucas lucia luis manuel marc maria marie mark martin mary matthias michael michel miguel monica nicolas olivia otto pablo patricia paul pedro peter "
+    "philippe pierre rachel ramon richard robert rosa ruth samuel sara sarah simon sofia sophie stefan stephen susan teresa thomas uwe ursula victor vincent walter werner william wolfgang".split()
+)
+STREETS = re.compile(r"(?i)(?:street|st|avenue|ave|road|rd|lane|ln|drive|boulevard|blvd|court|square|terrace|stra(?:ss|ß)e|weg|platz|gasse|allee|rue|calle|avenida|paseo|plaza)$")
 CALLING = ("+1", "+33", "+34", "+44", "+49")
 NEAR = {
     "email": ("mail", "contact", "write"), "ip": ("ip", "host", "server", "addr"), "card": ("card", "visa", "pay", "credit"), "phone": ("tel", "phone", "call", "fax", "mobile"),
     "secret": ("pass", "secret", "token", "key", "auth", "cred", "pwd"), "iban": ("iban", "account", "bank", "konto"), "ssn": ("ssn", "social"), "national": ("tel", "phone", "call", "fax"), "spelled": ("mail", "contact", "write"),
+    "name": ("mr ", "mr. ", "mrs ", "mrs. ", "ms ", "ms. ", "dr ", "dr. ", "prof. ", "herr ", "frau ", "monsieur ", "madame ", "señor ", "señora ", "name: ", "name is ", "contact: ", "dear ", "signed "), "address": ("address", "live", "resid", "street", "adresse", "dirección", "wohn"),
 }
 
 
@@ -97,7 +120,7 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 def valid(kind: str, s: str) -> bool:
     """The rule that a base match must pass."""
     if kind == "ip":
-        return all(len(x.lstrip("0")) <= 3 and int(x) <= 255 if len(x) < 4000 else not x.strip("0") for x in s.split("."))
+        return all(len(x) <= 3 and int(x or 0) <= 255 for x in (part.lstrip("0") for part in s.split(".")))
     if kind == "card":
         return 12 <= len(d := digits_of(s)) <= 19 and luhn(d)
     if kind == "phone":
@@ -126,10 +149,19 @@ def other_candidates(text: str) -> list[tuple[int, int, str]]:
                 end = v.end(1)
                 out.append((v.start(1), end, "secret"))
     if DIGIT.search(text):
-        for kind, pattern in (("secret", HEX), ("secret", ISSUED), ("iban", IBAN), ("ssn", SSN), ("national", NATIONAL)):
+        for kind, pattern in (("secret", HEX), ("secret", ISSUED), ("iban", IBAN), ("ssn", SSN), ("national", NATIONAL), ("address", ADDRESS)):
             out += [(m.start(), m.end(), kind) for m in pattern.finditer(text)]
+        out += [(m.start(), m.end(), "secret") for m in TOKEN.finditer(text) if DIGIT.search(m[0]) and LETTER.search(m[0])]
+    out += [(m.start(), m.end(), "name") for m in NAME.finditer(text)]
     if "[" in text or "(" in text:
-        out += [(m.start(), m.end(), "spelled") for m in SPELLED.finditer(text)]
+        done = 0
+        for m in AT.finditer(text):
+            start = m.start()
+            while start > done and text[start - 1] in LOCAL:
+                start -= 1
+            if start < m.start() and (v := SPELLED_DOMAIN.match(text, m.end())):
+                out.append((start, v.end(), "spelled"))
+            done = m.end()
     kept, end = [], -1
     for a, b, kind in sorted(set(out), key=lambda x: (x[0], -x[1], ORDER[x[2]])):
         if a >= end:
@@ -147,88 +179,142 @@ def votes(text: str, start: int, end: int, kind: str) -> tuple[int, ...]:
     """1 yes, 0 no, -1 abstains, of each labeler."""
     s, before = text[start:end], text[max(0, start - 32) : start].lower()
     letters, numbers = sum(c.isalpha() for c in s), len(DIGIT.findall(s))
-    form = {"email": s.count("@") == 1 and not s.startswith("."), "ip": s.count(".") == 3, "card": numbers in (15, 16), "phone": "  " not in s, "secret": len(s) >= 12, "iban": 15 <= len(s.replace(" ", "")) <= 34, "ssn": True, "national": True, "spelled": True}[kind]
-    if kind == "iban":
-        check = int(iban_sum(s))
-    elif kind == "ssn":
-        check = int(s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[7:] != "0000")
-    elif kind in ("ip", "card", "phone"):
-        check = int(valid(kind, s))
-    else:
-        check = -1
+    check = known = -1
+    form = True
+    texture = int(len(set(s)) > 3)
     if kind == "email":
-        known = int(s.rpartition(".")[2].lower() in ENDINGS)
-    elif kind == "phone":
-        known = 1 if s.startswith(CALLING) else -1
+        form, known, texture = s.count("@") == 1 and not s.startswith("."), int(s.rpartition(".")[2].lower() in ENDINGS), int(letters > 2)
+    elif kind == "ip":
+        form, check = s.count(".") == 3, int(valid(kind, s))
     elif kind == "card":
-        known = 1 if s[0] in "3456" else 0
+        form, check, known = numbers in (15, 16), int(valid(kind, s)), int(s[0] in "3456")
+    elif kind == "phone":
+        form, check, known = "  " not in s, int(valid(kind, s)), 1 if s.startswith(CALLING) else -1
     elif kind == "secret":
-        known = 1 if KEY.search(before.rstrip("\"' =:")) or ISSUED.fullmatch(s) else 0
+        # words joined by strokes, or one word and a number, are names of things
+        parts = re.split(r"[-_/+=.]+", s)
+        form = len(s) >= 12 and not all(p.isalpha() or p.isdigit() for p in parts)
+        check = int(entropy_of(s) >= 3) if len(s) >= 16 else -1
+        known = int(bool(KEY.search(before.rstrip("\"' =:")) or ISSUED.fullmatch(s)))
+        texture = int(letters > 0 and numbers > 0 and changes(s) * 5 >= len(s))
+    elif kind == "iban":
+        form, check = 15 <= len(s.replace(" ", "")) <= 34, int(iban_sum(s))
+    elif kind == "ssn":
+        form, check = "-" in s, int(s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[7:] != "0000")
+    elif kind == "national":
+        form, check = s[-5] in "-.", int(s.lstrip("(")[0] not in "01")
     elif kind == "spelled":
-        known = int(re.split(r"[^a-z]+", s.lower())[-1] in ENDINGS)
-    else:
-        known = -1
-    context = 1 if any(w in before for w in NEAR[kind]) else -1
-    if kind == "secret":
-        texture = int(letters > 0 and numbers > 0)
-    elif kind in ("email", "spelled"):
-        texture = 1 if letters > 2 else 0
-    else:
-        texture = 1 if len(set(s)) > 3 else 0
+        known, texture = int(re.split(r"[^a-z]+", s.lower())[-1] in ENDINGS), int(letters > 2)
+    elif kind == "name":
+        w = [x.lower() for x in re.split(r"[\s'’.-]+", s) if x]
+        form, check, known, texture = 2 <= s.count(" ") + 1 <= 4, int(len(set(w)) == len(w)), int(w[0] in GIVEN), int(not (before.rstrip() or ".").endswith((".", "!", "?", ":")))
+    elif kind == "address":
+        known = int(any(STREETS.search(x) for x in re.split(r"[\s,]+", s) if not x.isdigit()))
+        form, check = s[0].isdigit() or s[-1].isdigit(), int(0 < int(DIGIT_RUN.search(s)[0]) < 30_000)
+    context = 1 if any(w in before for w in NEAR[kind]) else 0 if kind in ("name", "address") else -1
     return int(form), check, known, context, texture
 
 
+DIGIT_RUN = re.compile(r"[0-9]+")
+
+
+def entropy_of(s: str) -> float:
+    """Bits a character."""
+    n = Counter(s)
+    total = sum(n.values())
+    return -sum(c / total * math.log2(c / total) for c in n.values())
+
+
+def changes(s: str) -> int:
+    """How often letters and digits take turns."""
+    kinds = ["d" if c in "0123456789" else "a" for c in s if c.isalnum()]
+    return sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
+
+
+def features_of(text: str, start: int, end: int) -> str:
+    """Classes of what the span is like: share of digits, case, entropy, what stands before; one digit each."""
+    s = text[start:end]
+    digits, upper, lower = len(DIGIT.findall(s)), sum(c.isupper() for c in s), sum(c.islower() for c in s)
+    share = 0 if not digits else 1 if digits * 3 < len(s) else 2 if digits < len(s) else 3
+    case = 0 if not upper and not lower else 1 if not upper else 2 if not lower else 3 if s[0].isupper() else 4
+    e = entropy_of(s)
+    before = text[start - 1 : start]
+    return f"{share}{case}{0 if e < 2.5 else 1 if e < 3.5 else 2}{0 if not before or before.isspace() else 1 if before in '=:' else 2 if not before.isalnum() else 3}"
+
+
 def pattern_of(text: str, span: tuple[int, int, str]) -> str:
-    """What the models see of a span: kind, votes, length class."""
+    """What the models see of a span: kind, votes, length class, classes of features."""
     a, b, kind = span
-    return f"{kind}|{','.join(map(str, votes(text, a, b, kind)))}|{min(3, (b - a) // 12)}"
+    return f"{kind}|{','.join(map(str, votes(text, a, b, kind)))}|{min(3, (b - a) // 12)}|{features_of(text, a, b)}"
+
+
+CLASSES = (4, 5, 3, 4)
 
 
 class Model:
-    """EM over patterns and a logistic classifier; knows patterns only."""
+    """EM over patterns, and a logistic classifier on their votes and features. The classifier's weights judge any pattern."""
+
+    WIDTH = 1 + len(KINDS) * (1 + 2 * len(LABELERS)) + 4 + sum(CLASSES)
 
     def __init__(self, counts: dict[str, int], rounds: int = 60) -> None:
-        self.names = sorted(counts)
-        weight = np.array([counts[k] for k in self.names], dtype=float)
-        kind = np.array([ORDER[k.split("|")[0]] for k in self.names], dtype=int)
-        v = np.array([[int(x) for x in k.split("|")[1].split(",")] for k in self.names]).reshape(-1, len(LABELERS))
-        self.accept: dict[str, float] = {}
-        if not len(weight):
+        names = sorted(counts)
+        self.theta: np.ndarray | None = None
+        self.known: dict[str, float] = {}
+        if not names:
             return
+        weight = np.array([counts[k] for k in names], dtype=float)
+        kind = np.array([ORDER[k.split("|")[0]] for k in names], dtype=int)
+        v = np.array([[int(x) for x in k.split("|")[1].split(",")] for k in names])
         said, yes = v >= 0, v == 1
+        of_kind = np.bincount(kind, weight, len(KINDS))
+        anchor = np.maximum(LEAST_ANCHOR, ANCHOR * of_kind)[:, None]
+
+        def by_kind(x: np.ndarray) -> np.ndarray:
+            return np.stack([np.bincount(kind, x[:, j], len(KINDS)) for j in range(x.shape[1])], axis=1)
+
         q = np.clip((yes.sum(axis=1) + 0.5) / (said.sum(axis=1) + 1), 0.05, 0.95)  # share of yes among the votes to begin with
         for _ in range(rounds):
-            w1, w0 = weight * q, weight * (1 - q)
-            # rates of yes on true and on false spans, each with a weak prior that labelers are right more often than not
-            right = ((w1[:, None] * yes).sum(0) + 4) / ((w1[:, None] * said).sum(0) + 5)
-            wrong = ((w0[:, None] * yes).sum(0) + 1) / ((w0[:, None] * said).sum(0) + 5)
-            prior = (np.bincount(kind, w1, len(KINDS)) + 1) / (np.bincount(kind, weight, len(KINDS)) + 2)
-            up = np.log(prior[kind]) + (said * np.where(yes, np.log(right), np.log(1 - right))).sum(1)
-            down = np.log(1 - prior[kind]) + (said * np.where(yes, np.log(wrong), np.log(1 - wrong))).sum(1)
+            w1, w0 = (weight * q)[:, None], (weight * (1 - q))[:, None]
+            right = (by_kind(w1 * yes) + 0.8 * anchor) / (by_kind(w1 * said) + anchor)
+            wrong = (by_kind(w0 * yes) + 0.2 * anchor) / (by_kind(w0 * said) + anchor)
+            prior = (np.bincount(kind, weight * q, len(KINDS)) + 1) / (of_kind + 2)
+            up = np.log(prior[kind]) + (said * np.where(yes, np.log(right[kind]), np.log(1 - right[kind]))).sum(1)
+            down = np.log(1 - prior[kind]) + (said * np.where(yes, np.log(wrong[kind]), np.log(1 - wrong[kind]))).sum(1)
             q = 1 / (1 + np.exp(np.clip(down - up, -50, 50)))
-        self.reliability = dict(zip(LABELERS, zip(right.tolist(), wrong.tolist(), strict=True), strict=True))
-        x = self.features(self.names)
-        scale, theta = weight / weight.max(), np.zeros(x.shape[1])
-        for _ in range(40):  # Newton steps on the weighted, regularised likelihood with EM's probabilities as targets
+        mean = lambda x: (x * of_kind[:, None]).sum(0) / of_kind.sum()
+        self.reliability = dict(zip(LABELERS, zip(mean(right).tolist(), mean(wrong).tolist(), strict=True), strict=True))
+        self.estimated = dict(zip(names, q.tolist(), strict=True))
+        x = self.features(names)
+        scale, theta = 10 * weight / of_kind[kind], np.zeros(x.shape[1])  # every kind weighs the same
+        for _ in range(30):  # Newton steps on the weighted, regularised likelihood with EM's probabilities as targets
             p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-            grad = x.T @ (scale * (p - q)) + 1e-3 * theta
-            theta -= np.linalg.solve((x * (scale * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(theta)), grad)
-        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        self.accept = dict(zip(self.names, p.tolist(), strict=True))
-
-    @staticmethod
-    def features(names: list[str]) -> np.ndarray:
-        out = np.zeros((len(names), 1 + len(KINDS) + 2 * len(LABELERS) + 4))
+            grad = x.T @ (scale * (p - q)) + 1e-2 * theta
+            theta -= np.linalg.solve((x * (scale * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(theta)), grad)
+        self.theta = theta
+
+    @classmethod
+    def features(cls, names: list[str]) -> np.ndarray:
+        """Kind, votes by kind, classes of length and of the span's features."""
+        out, votes_at, size_at = np.zeros((len(names), cls.WIDTH)), 1 + len(KINDS), 1 + len(KINDS) * (1 + 2 * len(LABELERS))
         for i, name in enumerate(names):
-            kind, v, size = name.split("|")
-            out[i, 0] = out[i, 1 + ORDER[kind]] = out[i, -4 + int(size)] = 1
+            kind, v, size, *more = name.split("|")
+            out[i, 0] = out[i, 1 + ORDER[kind]] = out[i, size_at + int(size)] = 1
             for j, x in enumerate(v.split(",")):
                 if x != "-1":
-                    out[i, 1 + len(KINDS) + 2 * j + int(x)] = 1
+                    out[i, votes_at + 2 * (len(LABELERS) * ORDER[kind] + j) + int(x)] = 1
+            at = size_at + 4
+            for c, n in zip(more[0] if more else "", CLASSES, strict=False):
+                out[i, at + int(c)] = 1
+                at += n
         return out
 
     def probability(self, pattern: str) -> float:
-        return self.accept.get(pattern, 0.0)
+        if self.theta is None:
+            return 0.0
+        p = self.known.get(pattern)
+        if p is None:
+            p = self.known[pattern] = float(1 / (1 + np.exp(-np.clip(self.features([pattern])[0] @ self.theta, -30, 30))))
+        return p
 
 
 def learn(docs: DataFrame) -> Model:
@@ -243,7 +329,7 @@ def learn(docs: DataFrame) -> Model:
         return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "n"])
 
     counts = map_batches(docs.select(F.col("text").cast("string").alias("text")), f, "pattern string, n bigint").groupBy("pattern").agg(F.sum("n").alias("n"))
-    return Model({r["pattern"]: r["n"] for r in counts.collect()})  # at most kinds x 3^labelers x 4 rows
+    return Model({r["pattern"]: r["n"] for r in counts.collect()})  # at most kinds x 3^labelers x classes rows, some hundreds in practice
 
 
 def clear_of(spans: list[tuple[int, int, str]], base: list[tuple[int, int, str]]) -> list[tuple[tuple[int, int, str], list[tuple[int, int, str]]]]:

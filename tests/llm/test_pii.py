@@ -125,3 +125,78 @@ def test_long_secrets_are_linear():
 def test_empty(spark):
     docs = documents(spark, TEXTS).filter("false")
     assert pii.find(docs, pii.learn(docs)).count() == 0
+
+
+def planted(rng):
+    """(text, wanted spans as (kind, words)) where the candidate patterns are wrong in both directions."""
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    given, family, thing = ["James", "Maria", "Hans", "Claire", "Peter"], ["Walker", "Lopez", "Keller", "Moreau", "Stone"], ["General", "Public", "Northern", "Apache", "Second", "River", "Report"]
+    out = []
+    for k in range(300):
+        person, what = f"{rng.choice(given)} {rng.choice(family)}", " ".join(rng.sample(thing, 2))
+        token, slug = draw("abcdefghkmnpqrstuvwxyz0123456789", 32), f"{rng.choice(thing).lower()}-release-candidate-{rng.randrange(2000, 2030)}"
+        street = f"{rng.randrange(1, 300)} {rng.choice(family)} Street"
+        out += [
+            (f"we wrote to Mr. {person} about it", {("name", person)}),
+            (f"as the {what} says here", set()),
+            (f"look into {slug} first", set()),
+            (f"then key: {token} was sent", {("secret", token)}),
+            (f"they live at {street} now", {("address", street)}),
+            (f"see page {rng.randrange(40_000, 99_999)} {rng.choice(thing)} for more", set()),
+        ]
+    return out
+
+
+def test_the_model_is_right_where_patterns_are_wrong(spark):
+    rows = planted(random.Random(12))
+    docs = documents(spark, [(k, t) for k, (t, _) in enumerate(rows)])
+    got = {r["doc_id"]: r["spans"] for r in pii.find(docs, pii.learn(docs)).collect()}
+    right = by_pattern = 0
+    for k, (t, want) in enumerate(rows):
+        spans = [x.split(":") for x in got[k].split(",") if x]
+        right += {(kind, t[int(a) : int(b)]) for kind, a, b in spans} == want
+        by_pattern += {(kind, t[a:b]) for a, b, kind in pii.other_candidates(t)} == want
+    assert right >= 0.97 * len(rows) and by_pattern <= 0.6 * len(rows)
+
+
+def slow_em(counts, rounds):
+    """EM in loops, one pattern and labeler at a time."""
+    rows = [(k.split("|")[0], [int(x) for x in k.split("|")[1].split(",")], n) for k, n in sorted(counts.items())]
+    of = Counter()
+    for kind, _, n in rows:
+        of[kind] += n
+    q = [min(0.95, max(0.05, (sum(x == 1 for x in v) + 0.5) / (sum(x >= 0 for x in v) + 1))) for _, v, _ in rows]
+    for _ in range(rounds):
+        rate, prior = {}, {}
+        for kind in of:
+            mine = [(v, n, p) for (k, v, n), p in zip(rows, q) if k == kind]
+            prior[kind] = (sum(n * p for _, n, p in mine) + 1) / (of[kind] + 2)
+            a = max(pii.LEAST_ANCHOR, pii.ANCHOR * of[kind])
+            for j in range(5):
+                for c, at in ((1, 0.8), (0, 0.2)):
+                    w = [(v[j], n * (p if c else 1 - p)) for v, n, p in mine if v[j] >= 0]
+                    rate[kind, j, c] = (sum(x for y, x in w if y == 1) + at * a) / (sum(x for _, x in w) + a)
+        q = []
+        for kind, v, _ in rows:
+            both = []
+            for c, p in ((1, prior[kind]), (0, 1 - prior[kind])):
+                for j, x in enumerate(v):
+                    p *= 1 if x < 0 else rate[kind, j, c] if x else 1 - rate[kind, j, c]
+                both.append(p)
+            q.append(both[0] / sum(both))
+    return q
+
+
+def test_em_equals_a_slow_version_and_unseen_patterns_are_judged():
+    rng = random.Random(2)
+    counts = {f"{rng.choice(['secret', 'name', 'email'])}|{','.join(str(rng.choice([-1, 0, 1])) for _ in range(5))}|{rng.randrange(4)}|{rng.randrange(4)}{rng.randrange(5)}{rng.randrange(3)}{rng.randrange(4)}": rng.randrange(1, 50) for _ in range(60)}
+    m = pii.Model(counts, rounds=7)
+    assert all(abs(a - b) < 1e-9 for a, b in zip([m.estimated[k] for k in sorted(counts)], slow_em(counts, 7), strict=True))
+    m = pii.Model({"secret|1,1,1,1,1|3|2222": 400, "secret|0,0,0,-1,0|1|1100": 600, "name|1,1,0,0,0|1|0310": 500, "name|1,1,1,1,1|1|0310": 60})
+    assert m.probability("secret|1,1,1,-1,1|2|2122") > 0.5 > m.probability("secret|0,0,0,-1,1|2|1110") and m.probability("name|1,1,1,1,1|2|0320") > 0.5 > m.probability("name|0,1,0,0,1|0|0320")
+
+
+def test_long_runs_of_zeros_and_spelled_names():
+    assert pii.valid("ip", "0" * 5000 + "1.1.1.1") and not pii.valid("ip", "0" * 5000 + "256.1.1.1") and pii.valid("ip", "0" * 9000 + ".0.0.0")
+    local = "a" * 300
+    assert pii.other_candidates(f"to {local} [at] host [dot] com, x") == [(3, 3 + 300 + len(" [at] host [dot] com"), "spelled")]
