@@ -86,6 +86,7 @@ class Index:
         self.edge = np.concatenate([np.zeros(1, dtype=np.int64), edge])  # of the words in text, each with a blank behind it
         self.text = b"".join(w + b" " for w in flat)
         h = self.hashes.words(flat)
+        self.vocabulary, self.known = np.unique(h), {}
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for n in sorted({min(window, int(x)) for x in size if x}):
             of = np.flatnonzero(size >= window if n == window else size == n)
@@ -95,19 +96,36 @@ class Index:
             order = np.argsort(key, kind="stable")
             self.by_length[n] = key[order], item[order], at[order]
 
+    def of_words(self, found: list[bytes]) -> np.ndarray:
+        """Hashes of words, 0 for those that no item has."""
+        known = self.known
+        if len(known) > self.hashes.bound:
+            known.clear()
+        out = list(map(known.get, found))
+        if None in out:
+            new = list({found[i] for i, h in enumerate(out) if h is None})
+            h = np.array(list(map(xxhash.xxh3_64_intdigest, new)), dtype=np.uint64)
+            at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
+            known.update(zip(new, np.where(self.vocabulary[at] == h, h, np.uint64(0)).tolist(), strict=True))
+            out = list(map(known.get, found))
+        return np.array(out, dtype=np.uint64)
+
     def scan(self, found: list[bytes], hit: np.ndarray, got: set[str]) -> None:
         """Mark the hit words of one document and gather the items whose windows occur in it."""
-        if not found:
+        if not found or not self.by_length:
             return
-        h = self.hashes.words(found)
+        h = self.of_words(found)
+        run = np.concatenate([[0], np.cumsum(h != 0)])
         for n, (keys, item, at) in self.by_length.items():
-            here = self.hashes.windows(h, n)
-            if not len(here):
+            if len(found) < n:
                 continue
-            low = np.searchsorted(keys, here)
-            start = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == here)
+            start = np.flatnonzero(run[n:] - run[:-n] == n)  # only where all words are some item's words
             if not len(start):
                 continue
+            here = self.hashes.windows(h, n)
+            low = np.zeros(len(here), dtype=np.int64)
+            low[start] = np.searchsorted(keys, here[start])
+            start = start[keys[np.minimum(low[start], len(keys) - 1)] == here[start]]
             seen: dict[bytes, bool] = {}
             for k in start.tolist():
                 words_here = b" ".join(found[k : k + n]) + b" "
