@@ -1,4 +1,6 @@
 import html
+import math
+import random
 import re
 import time
 
@@ -102,3 +104,86 @@ def test_given_pages(spark, sf_dir):
     got = h.extract(pages).collect()
     assert {r["page_id"]: r["text"] for r in got} == want and all(r["n_chars"] == len(r["text"]) for r in got)
     assert h.extract(pages.filter("false")).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<article><h1>T</h1><p>a</p><section id='discussion'><p>We discuss.</p></section><div class='market-share'>Share of 5 %</div></article>", "T\na\nWe discuss.\nShare of 5 %"),
+        ("<article class='card'><p>A teaser text.</p></article><div class='content'><p>The real body, which is much longer than the teaser.</p><p>And more.</p></div>", "The real body, which is much longer than the teaser.\nAnd more."),
+        ("<main><h1>Title</h1><p>lead</p><article><p>body of it</p></article><p>after</p></main>", "Title\nlead\nbody of it"),
+        ("<article><p>a</p><div class='ad-hoc'>kept</div><div class='site-ad'>no</div><div id='reader-comments'>no</div><div class='cookie-recipe'>kept too</div></article>", "a\nkept\nkept too"),
+        ("<body><p>text</p><div class='related'><a href=x>one</a> <a href=y>two</a></div></body>", "text"),
+    ],
+)
+def test_names_are_no_more_than_a_prior(source, want):
+    assert text(source) == want
+
+
+def renamed(k, i):
+    """A page whose parts have no telling names, tags or roles; only what repeats over the host tells them."""
+    return f"""<html><body><div class="x1"><a href=a>Home</a> <a href=b>News</a></div><div class="x2"><p>We use small files to remember you on {k}.</p></div>
+      <div class="x3"><h1>Headline {k} {i}</h1><p>First paragraph {k} {i} about {"abc"[i % 3]}.</p><div class="x4"><p>Discussion {k} {i} in more words.</p></div></div><p>Made by the people of {k}</p><div class="x5">All rights {k}</div></body></html>"""
+
+
+def slow_tree(pages):
+    """Importances by host and path by plain loops; paths are tuples, contents are texts."""
+    by = {}
+    for host in {p[1] for p in pages}:
+        seen = {}
+        for _, source in {(h.main_text(s, set()), s) for _, at, s in pages if at == host}:
+            own = h.main_text(source, set())
+
+            def visit(node, path, inside):
+                words = []
+                for c in node.children:
+                    if isinstance(c, str):
+                        words += [" ".join(c.split())] if c.split() else []
+                    else:
+                        words += visit(c, (*path, c.tag + "." + c.names), inside or c.tag in ("article", "main"))
+                seen.setdefault(path, set()).add((own, tuple(c.tag for c in node.children if not isinstance(c, str)), tuple(words)))
+                return words
+
+            visit(h.parse(source), (), False)
+        for path, rows in seen.items():
+            out = []
+            for k in (1, 2):
+                n = {}
+                for r in rows:
+                    n[r[k]] = n.get(r[k], 0) + 1
+                m = len(rows)
+                out.append(-sum(c / m * math.log(c / m) for c in n.values()) / math.log(m) if m > 1 else 1.0)
+            by[host, path] = len(rows), 0.3 * out[0] + 0.7 * out[1]
+    return by
+
+
+def test_only_the_tree_tells_renamed_templates(spark):
+    rows = [(100 * k + i, f"https://h{k}.example.org/{i}", renamed(k, i)) for k in range(3) for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in h.extract(pages_of(spark, rows)).collect()}
+    for page, _, source in rows:
+        k, i = divmod(page, 100)
+        assert got[page] == f"Headline {k} {i}\nFirst paragraph {k} {i} about {'abc'[i % 3]}.\nDiscussion {k} {i} in more words."
+        assert text(source) != got[page]  # names and tags alone leave the templates in
+
+
+def test_importance_equals_a_slow_version(spark):
+    rng = random.Random(5)
+    part = lambda: rng.choice(["<div class='a'>one</div>", "<div class='a'>two <b>three</b></div>", "<div class='b'><div class='c'>x</div><span class='d'>y</span></div>", f"<div class='b'>{rng.randrange(6)}</div>", f"<ul><li>{rng.randrange(3)}</ul>"])
+    rows = [(i, f"https://h{i % 2}.example.org/{i}", "<body>" + "".join(part() for _ in range(rng.randrange(1, 5))) + f"<p>{i}</p></body>") for i in range(30)]
+    want = slow_tree([(i, u.split("/")[2], s) for i, u, s in rows])
+    got = {(r["host"], r["path"]): (r["pages"], r["importance"]) for r in h.importance(pages_of(spark, rows).withColumn("host", h.split_url()[0])).collect()}
+    same = 0
+    for (host, path), (m, value) in want.items():
+        key = host, h.hash64("/" + "/".join(x.rstrip(".") for x in path))
+        if path and key in got:
+            same += 1
+            assert got[key][0] == m and abs(got[key][1] - value) < 1e-9
+    assert same == len(got) > 8
+
+
+def test_deep_and_wide_pages_are_linear(spark):
+    began = time.time()
+    deep = ["<div class=a>" * 50_000 + "deep text", "<div>" * 30_000 + "</p>" * 30_000 + "x", "<b>" * 30_000 + "</section></i>" * 10_000 + "y", "<div class=w>z</div>" * 30_000]
+    got = {r["page_id"]: r["text"] for r in h.extract(pages_of(spark, [(k, "https://deep.example.org/", s) for k, s in enumerate(deep)])).collect()}
+    assert got[0] == "deep text" and got[1] == "x" and got[2] == "y" and got[3].count("z") == 30_000
+    assert time.time() - began < 60
