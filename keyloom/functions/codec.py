@@ -60,6 +60,25 @@ def read_little_endian(c: Named, at: int, kind: str) -> Column:
     return F.when(value >= 1 << (8 * n - 1), value - (1 << 8 * n)).otherwise(value).cast({1: "int", 2: "int", 4: "int"}[n])
 
 
+def to_little_endian(value: Named, kind: str) -> Column:
+    """The bytes of a whole number of a kind, least significant first; higher bits are dropped."""
+    n = WIDTHS[kind]
+    digits = F.lpad(F.hex(_col(value).cast("bigint")), 16, "0")
+    return F.unhex(reversed_hex(F.substring(digits, 17 - 2 * n, 2 * n), n))
+
+
+def write_bytes(c: Named, at: int, new: Column) -> Column:
+    """The slice with other bytes from a byte offset on; null if they would not fit."""
+    whole, size = _col(c), F.octet_length(new)
+    rest = F.substr(whole, size + at + 1, F.octet_length(whole))
+    return F.when(size + at <= F.octet_length(whole), F.concat(F.substring(whole, 1, at), new, rest))
+
+
+def write_little_endian(c: Named, at: int, value: Named, kind: str) -> Column:
+    """The slice with a whole number of a kind (byte, short, int, long) at a byte offset."""
+    return write_bytes(c, at, to_little_endian(value, kind))
+
+
 def bytes_to_int(c: Named) -> Column:
     """4 bytes, least significant first, as a signed integer."""
     return read_little_endian(c, 0, "int")

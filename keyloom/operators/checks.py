@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def order_violations(rows: DataFrame) -> DataFrame:
-    """Rows (key, pos) whose key is not above that of the position before: violations, rows. An equi-join of neighbours."""
+    """Rows (key, pos; pos is where a row was found, not made from the keys) whose key is not above that of the position before: violations, rows. An equi-join of neighbours."""
     before = rows.select((F.col("pos") + 1).alias("pos"), F.col("key").alias("_before"))
     pairs = rows.select("pos", "key").join(before, "pos", "left")
     return pairs.agg(F.count_if(F.col("_before") >= F.col("key")).alias("violations"), F.count("*").alias("n"))

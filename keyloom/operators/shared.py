@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import threading
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,55 @@ def visit(view: DataFrame, visitors: list[Visitor]) -> DataFrame:
     return view.filter(wanted).agg(*columns)
 
 
+@dataclass(frozen=True)
+class RowVisitor:
+    """A name, bounds, and make(): called once a partition, it gives a function from each Arrow batch of the rows within to a batch or None."""
+
+    name: str
+    lower: bytes | None
+    upper: bytes | None
+    make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]]
+
+
+def visit_rows(view: DataFrame, visitors: list[RowVisitor], schema: str) -> DataFrame:
+    """Each visitor gets the rows of its range on the executors, in ascending order of the keys, in one pass for all of them.
+
+    Partitions are ranges of keys, so a visitor sees the rows of a partition in order, and partitions follow each other as their
+    keys do. The result has a column visitor before those of the schema that all visitors make.
+    """
+    if not visitors:
+        raise StoreError(Code.INVALID_ARGUMENT, "a shared scan needs a visitor")
+    wanted = F.lit(False)
+    for v in visitors:
+        wanted = wanted | within("key", v.lower, v.upper)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps = [(v, v.make()) for v in visitors]
+        for b in batches:
+            keys = b.column("key").cast(pa.binary())
+            for v, step in steps:
+                low = _first_not_below(keys, v.lower, 0)
+                high = _first_not_below(keys, v.upper, b.num_rows)
+                if low < high and (out := step(b.slice(low, high - low))) is not None and out.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([v.name] * out.num_rows, pa.string()), *out.columns], names=["visitor", *out.schema.names])
+
+    return view.filter(wanted).repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, f"visitor string, {schema}")
+
+
+def _first_not_below(keys: pa.Array, bound: bytes | None, without: int) -> int:
+    """Position of the first of the ascending keys that is not below a bound."""
+    if bound is None:
+        return without
+    low, high = 0, len(keys)
+    while low < high:
+        mid = (low + high) // 2
+        if keys[mid].as_py() < bound:
+            low = mid + 1
+        else:
+            high = mid
+    return low
+
+
 class Ride:
     """Calls of submit() wait for one shared pass over a view: at `calls` waiting, or after `seconds` for the oldest."""
 

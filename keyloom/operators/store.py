@@ -9,19 +9,21 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.errors import Code, StoreError
 from keyloom.operators import views
-from keyloom.operators.shared import Ride, Visitor
+from keyloom.functions.routing import within
+from keyloom.operators.shared import Ride, RowVisitor, Visitor, visit_rows
 from keyloom.sources.log import SCHEMA, Log
 
 
 class Store:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.log = spark, Log(spark, path)
-        self.files, self.closed, self.ride = self.log.files, False, None
+        self.files, self.closed, self.ride, self.kept = self.log.files, False, None, []
         self.unclean = bool(self.log.uncommitted())
         self.refresh()
 
@@ -41,6 +43,7 @@ class Store:
 
     def refresh(self) -> None:
         """Take in what was committed since."""
+        self._drop_cached()
         self.batches, self.snapshot = self.log.batches(), None
         for name in reversed(self.files.names("snapshot")):
             if self.files.exists(f"snapshot/{name}/held.json"):
@@ -66,7 +69,9 @@ class Store:
         name, held = self.snapshot
         sorted_run = self.spark.read.schema(SCHEMA).parquet(self.files.uri(f"snapshot/{name}/rows"))
         newer = [b for b in self.batches if b not in held]
-        return views.trusted(sorted_run) if not newer else views.latest(sorted_run.unionByName(self.log.read(newer)))
+        if not newer:
+            return views.trusted(sorted_run)
+        return views.latest(sorted_run.withColumn("batch", F.lit(-1).cast("bigint")).unionByName(self.log.read(newer)))  # the run is older than any of them
 
     def read(self, key: bytes) -> bytes | None:
         """The value of a key, None if it is absent. For many keys use multi_get: a call is a job."""
@@ -77,7 +82,8 @@ class Store:
         return views.multi_get(self.view(), keys)
 
     def range(self, lower: bytes | None = None, upper: bytes | None = None, visit: Callable[[bytes, bytes], None] | None = None) -> DataFrame | int:
-        """Rows with lower <= key < upper in order. With visit, each pair is passed to it in order, partition by partition."""
+        """Rows with lower <= key < upper in order. With visit, each pair is passed to it in order on the driver, partition by
+        partition; see visit() for work on the executors."""
         rows = views.range_scan(self.view(), lower, upper)
         if visit is None:
             return rows
@@ -113,6 +119,21 @@ class Store:
         self.unclean = False
         return gone
 
+    def visit(self, visitors: list[RowVisitor], schema: str) -> DataFrame:
+        """Rows in order to visitors that work on the executors, all in one pass."""
+        return visit_rows(self.view(), visitors, schema)
+
+    def cached(self, lower: bytes | None = None, upper: bytes | None = None) -> DataFrame:
+        """The view of a range, kept in the executors' memory (on their disks where that is full) until close or refresh."""
+        rows = self.view().filter(within("key", lower, upper)).persist(StorageLevel.MEMORY_AND_DISK)
+        self.kept.append(rows)
+        return rows
+
+    def _drop_cached(self) -> None:
+        for rows in self.kept:
+            rows.unpersist()
+        self.kept = []
+
     def size(self) -> int:
         """Bytes of the store's files."""
         return self.files.size()
@@ -120,4 +141,5 @@ class Store:
     def close(self) -> None:
         if self.ride is not None:
             self.ride.close()
+        self._drop_cached()
         self.closed = True

@@ -9,22 +9,28 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from keyloom.errors import Code, StoreError
 from keyloom.functions import codec
 from keyloom.functions.routing import hash_partition, shard_of
 from keyloom.operators import checks, recovery, shared, views
 from keyloom.operators.store import Store
 from keyloom.plans import workload
-from keyloom.sources import raw
+from keyloom.sources import raw, records
 from keyloom.streaming import latest as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
+#: Bytes of a value slot where the given tables' short values are stored.
+SLOT = 256
 LOW, HIGH = bytes.fromhex("4000000000000000"), bytes.fromhex("8000000000000000")
 
 #: The log in SQL, and its latest view.
@@ -43,24 +49,23 @@ def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("key", F.col("event_id").alias("seq"), F.concat(F.hex("key"), F.lit("|"), "event_type", F.lit("|"), "props").alias("value"))
 
 
-def customer_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+def asked_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys to look up: all customers, some of whom have events."""
     return table(spark, sf_dir, "customer").select(codec.digest_key("c_custkey").alias("key"))
 
 
-def asked_keys(spark: SparkSession, sf_dir: str, most: int = 400) -> DataFrame:
-    """Keys to look up: customers below a number, some of whom have events."""
-    return table(spark, sf_dir, "customer").filter(F.col("c_custkey") < most).select(codec.digest_key("c_custkey").alias("key"))
-
-
 def rows_of(view: DataFrame) -> DataFrame:
     """k, seq, v (and pos, if there)."""
     return view.select(F.hex("key").alias("k"), "seq", F.col("value").alias("v"), *(["pos"] if "pos" in view.columns else []))
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A folder of its own for a store: below the shared folder the session names, or temporary where it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='keyloom-')}"
+    """A folder of its own for a store, below the shared folder that the session names. Without one, a local session has a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise StoreError(Code.INVALID_ARGUMENT, "spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='keyloom-')}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -106,7 +111,7 @@ def kv_get_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.get(views.latest(events_log(spark, sf_dir)), bytes(8)).agg(F.count("*").alias("n"))
 
 
-SQL_ASKED = "asked AS (SELECT DISTINCT upper(substr(md5(CAST(c_custkey AS VARCHAR)), 1, 16)) AS k FROM customer WHERE c_custkey < 400) "
+SQL_ASKED = "asked AS (SELECT DISTINCT upper(substr(md5(CAST(c_custkey AS VARCHAR)), 1, 16)) AS k FROM customer) "
 
 
 @query(SQL_LATEST + ", " + SQL_ASKED + "SELECT a.k, l.seq, l.v, CAST(l.seq IS NOT NULL AS BIGINT) AS found FROM asked a LEFT JOIN latest l ON a.k = l.k")
@@ -130,30 +135,6 @@ def kv_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.missing(views.index(events_log(spark, sf_dir)), asked_keys(spark, sf_dir).distinct()).select(F.hex("key").alias("k"))
 
 
-SQL_CUSTOMERS = "asked AS (SELECT DISTINCT upper(substr(md5(CAST(c_custkey AS VARCHAR)), 1, 16)) AS k FROM customer) "
-
-
-@query(SQL_LATEST + ", " + SQL_CUSTOMERS + "SELECT a.k, l.seq, l.v, CAST(l.seq IS NOT NULL AS BIGINT) AS found FROM asked a LEFT JOIN latest l ON a.k = l.k")
-def kv_multi_get_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = views.multi_get(views.latest(events_log(spark, sf_dir)), customer_keys(spark, sf_dir))
-    return found.select(F.hex("key").alias("k"), "seq", F.col("value").alias("v"), "found")
-
-
-@query(SQL_LATEST + ", " + SQL_CUSTOMERS + "SELECT count(*) AS asked, CAST(count(l.k) AS BIGINT) AS hits, CAST(count(*) - count(l.k) AS BIGINT) AS misses FROM asked a LEFT JOIN latest l ON a.k = l.k")
-def kv_hit_count_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.hit_count(views.multi_get(views.latest(events_log(spark, sf_dir)), customer_keys(spark, sf_dir)))
-
-
-@query(SQL_LATEST + ", " + SQL_CUSTOMERS + "SELECT a.k FROM asked a SEMI JOIN latest l ON a.k = l.k")
-def kv_found_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.found(views.index(events_log(spark, sf_dir)), customer_keys(spark, sf_dir).distinct()).select(F.hex("key").alias("k"))
-
-
-@query(SQL_LATEST + ", " + SQL_CUSTOMERS + "SELECT a.k FROM asked a ANTI JOIN latest l ON a.k = l.k")
-def kv_missing_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.missing(views.index(events_log(spark, sf_dir)), customer_keys(spark, sf_dir).distinct()).select(F.hex("key").alias("k"))
-
-
 def _ranged(spark: SparkSession, sf_dir: str, lower: bytes | None, upper: bytes | None) -> DataFrame:
     view = views.latest(events_log(spark, sf_dir))
     return rows_of(views.positioned(views.range_scan(view, lower, upper)))
@@ -224,16 +205,31 @@ def kv_shared_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared.visit(views.latest(events_log(spark, sf_dir)), VISITORS)
 
 
-@query(SQL_LATEST + "SELECT CAST(count(*) FILTER (p >= k) AS BIGINT) AS violations, count(*) AS n FROM (SELECT k, lag(k) OVER (ORDER BY k) AS p FROM latest)")
+@query(
+    SQL_LATEST + ", r AS (SELECT 'arrival' AS what, k, lag(k) OVER (ORDER BY seq) AS p FROM log UNION ALL SELECT 'snapshot', k, lag(k) OVER (ORDER BY k) FROM latest) "
+    "SELECT what, CAST(count(*) FILTER (p >= k) AS BIGINT) AS violations, count(*) AS n FROM r GROUP BY 1"
+)
 def kv_order_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.order_violations(views.positioned(views.index(events_log(spark, sf_dir))))
+    """Of a snapshot's rows as they lie in its files, and of the log in the order of its arrival, which is not that of the keys."""
+    store = _store(spark, sf_dir)
+    name = store.compact()
+    found = spark.read.parquet(store.files.uri(f"snapshot/{name}/rows")).select("key", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
+    sizes = found.groupBy("file").agg(F.count("*").alias("n"))  # a row a file
+    starts = sizes.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("start"))
+    stored = found.join(F.broadcast(starts), "file").select("key", (F.col("start") + F.col("at")).alias("pos"))
+    arrived = views.ranked(events_log(spark, sf_dir).select("key", "seq"), F.col("seq"), ["seq"]).select("key", "pos")
+    both = {"snapshot": stored, "arrival": arrived}
+    return reduce(DataFrame.unionByName, [checks.order_violations(rows).select(F.lit(what).alias("what"), "violations", "n") for what, rows in both.items()])
 
 
-@query(SQL_LATEST + "SELECT CAST(count(*) FILTER (substr(v, 1, 16) <> k) AS BIGINT) AS mismatches, count(*) AS n FROM latest")
+@query(
+    "SELECT CAST(count(*) FILTER (substr(md5(CAST(user_id AS VARCHAR)), 1, 16) <> substr(md5(CAST(user_id + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END AS VARCHAR)), 1, 16)) AS BIGINT) AS mismatches, count(*) AS n FROM events"
+)
 def kv_prefix_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values of binary form that begin with the key's bytes."""
-    view = views.latest(events_log(spark, sf_dir)).select("key", F.concat(F.unhex(F.substring("value", 1, 16)), F.encode(F.substr("value", F.lit(17)), "UTF-8")).alias("value"))
-    return checks.prefix_mismatches(view)
+    """Values that begin with a key's bytes; every tenth begins with those of another key."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    written = codec.digest_key(F.col("user_id") + F.when(F.col("event_id") % 10 == 0, 1).otherwise(0))
+    return checks.prefix_mismatches(e.select(codec.digest_key("user_id").alias("key"), F.concat(written, F.encode("event_type", "UTF-8")).alias("value")))
 
 
 @query(SQL_LATEST + "SELECT CAST(count(*) FILTER (strlen(v) <> 64) AS BIGINT) AS mismatches, count(*) AS n FROM latest")
@@ -282,12 +278,14 @@ def kv_double_write(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(user_id AS BIGINT) AS k, max(event_id) AS seq, arg_max(event_type, event_id) AS v FROM events GROUP BY 1")
 def kv_stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest view as a streaming aggregation over the table's files."""
-    source = table(spark, sf_dir, "events")
-    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir) if not _is_folder(spark, f"{sf_dir}/events.parquet") else spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet")
-    log = stream.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("event_type").alias("value"))
-    out = streaming.run_to_memory(streaming.latest_stream(log), f"latest_{uuid.uuid4().hex}")
-    return out.select(F.col("key").cast("bigint").alias("k"), "seq", F.col("value").alias("v"))
+    """The table's files as a stream whose micro-batches are appended to a store; the store's view."""
+    source, path = table(spark, sf_dir, "events"), f"{sf_dir}/events.parquet"
+    reader = spark.readStream.schema(source.schema)
+    stream = reader.parquet(path) if _is_folder(spark, path) else reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    key = F.unhex(F.lpad(F.hex(F.col("user_id").cast("bigint")), 16, "0"))
+    store = Store.open(spark, scratch(spark, "stream"))
+    streaming.merge_batches(stream.select(key.alias("key"), F.col("event_id").alias("seq"), F.encode("event_type", "UTF-8").alias("value")), store, scratch(spark, "stream-at"))
+    return store.view().select(codec.key_to_long("key").alias("k"), "seq", F.decode("value", "UTF-8").alias("v"))
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
@@ -319,20 +317,27 @@ def kv_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows_of(store.view()).withColumn("v", F.decode("v", "UTF-8"))
 
 
-@query(SQL_LOG.rstrip(", ") + f" SELECT k, CAST({SQL_SHARD} AS BIGINT) AS shard, CAST(row_number() OVER (PARTITION BY {SQL_SHARD} ORDER BY seq) - 1 AS BIGINT) AS seq FROM log WHERE {SQL_SHARD} < 256")
-def kv_raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All shards are written as raw 12-byte records, read back and trimmed; the result has the shards its SQL names, those below 256."""
-    return kv_raw_log_all(spark, sf_dir).filter(F.col("shard") < 256)
-
-
 @query(SQL_LOG.rstrip(", ") + f" SELECT k, CAST({SQL_SHARD} AS BIGINT) AS shard, CAST(row_number() OVER (PARTITION BY {SQL_SHARD} ORDER BY seq) - 1 AS BIGINT) AS seq FROM log")
-def kv_raw_log_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Written as raw 12-byte records, one file a shard, read back and trimmed."""
+def kv_raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All shards, written as raw 12-byte records, one file each with a zero tail, read back by the data source, which trims the tails."""
     rows = events_log(spark, sf_dir).select("key", F.col("seq").alias("event_id"))
     folder = scratch(spark, "raw")
-    raw.write_records(views.sequenced(rows, "event_id"), folder)
-    records = raw.trimmed(raw.read_records_by_file(spark, folder))
-    return records.select(F.hex("key").alias("k"), shard_of("key").alias("shard"), "seq")
+    raw.write_records(views.sequenced(rows, "event_id"), folder, grow=64)
+    records.register(spark)
+    return spark.read.format("wal12").load(folder).select(F.hex("key").alias("k"), shard_of("key").alias("shard"), "seq")
+
+
+@query(SQL_LATEST + "SELECT k, v FROM latest")
+def kv_value_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys in a raw log and values in slots of all shards; the log's last sequence of a key is where its value is read."""
+    rows = views.sequenced(events_log(spark, sf_dir).withColumnRenamed("seq", "event_id"), "event_id")
+    folder = scratch(spark, "values")
+    raw.write_records(rows, folder, grow=64)
+    raw.write_values(rows, folder, width=SLOT)
+    records.register(spark)
+    found = views.index(spark.read.format("wal12").load(folder)).select("key", shard_of("key").alias("shard"), "seq")
+    values = raw.read_values(found, folder, width=SLOT)
+    return values.select(F.hex("key").alias("k"), F.rtrim(F.decode("value", "UTF-8"), F.lit("\0")).alias("v"))
 
 
 LE4 = "concat(substr(lpad(to_hex({0}), 8, '0'), 7, 2), substr(lpad(to_hex({0}), 8, '0'), 5, 2), substr(lpad(to_hex({0}), 8, '0'), 3, 2), substr(lpad(to_hex({0}), 8, '0'), 1, 2))"
@@ -398,6 +403,116 @@ def kv_seeded_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view.filter(F.substring("value", 1, 8) == F.col("key")).select(F.hex("key").alias("k"), "seq", F.octet_length("value").cast("bigint").alias("value_bytes"))
 
 
+@query(SQL_LATEST + "SELECT 'all' AS visitor, k, strlen(v) AS bytes FROM latest UNION ALL SELECT 'low', k, strlen(v) FROM latest WHERE k < '8000000000000000' UNION ALL SELECT 'mid', k, strlen(v) FROM latest WHERE k >= '4000000000000000' AND k < 'C000000000000000'")
+def kv_visit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three visitors get the rows of their ranges in order on the executors, in one pass; each checks the order itself."""
+
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        last = [b""]
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            keys = [bytes(k) for k in batch.column("key").to_pylist()]
+            for k in keys:
+                if k <= last[0]:
+                    raise ValueError("keys are out of order")
+                last[0] = k
+            sizes = [len(v.encode()) for v in batch.column("value").to_pylist()]
+            return pa.RecordBatch.from_arrays([pa.array([k.hex().upper() for k in keys], pa.string()), pa.array(sizes, pa.int64())], names=["k", "bytes"])
+
+        return step
+
+    visitors = [shared.RowVisitor(v.name, v.lower, v.upper, make) for v in VISITORS]
+    return shared.visit_rows(views.latest(events_log(spark, sf_dir)), visitors, "k string, bytes bigint")
+
+
+@query(SQL_LATEST + "SELECT 'all' AS visitor, count(*) AS n FROM latest UNION ALL SELECT 'low', count(*) FILTER (k < '8000000000000000') FROM latest UNION ALL SELECT 'mid', count(*) FILTER (k >= '4000000000000000' AND k < 'C000000000000000') FROM latest")
+def kv_timeout_ride(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three callers of a shared pass for 64: none is full, so the pass starts when the first has waited long enough."""
+    ride = shared.Ride(views.latest(events_log(spark, sf_dir)), calls=64, seconds=0.05)
+    with ThreadPoolExecutor(len(VISITORS)) as pool:
+        got = list(pool.map(lambda v: (v.name, ride.submit(shared.Visitor(v.name, v.lower, v.upper))["n"]), VISITORS))
+    ride.close()
+    return spark.createDataFrame(got, "visitor string, n bigint")
+
+
+@query("WITH log AS (SELECT upper(substr(md5(CAST(user_id AS VARCHAR)), 1, 16)) AS k, event_id // 100 AS seq, concat(event_type, '/', CAST(event_id AS VARCHAR)) AS v FROM events) SELECT k, seq, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC, v) AS r FROM log) WHERE r = 1")
+def kv_tie_break(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of one key and sequence: the one with the least value stays."""
+    e = table(spark, sf_dir, "events").select(codec.digest_key("user_id").alias("key"), F.floor(F.col("event_id") / 100).cast("bigint").alias("seq"), F.concat_ws("/", "event_type", F.col("event_id").cast("string")).alias("value"))
+    return rows_of(views.latest(e))
+
+
+@query("SELECT upper(substr(md5(CAST(c_custkey AS VARCHAR)), 1, 16)) AS k, CAST(0 AS BIGINT) AS found FROM customer")
+def kv_empty_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store without a log: every key is looked up and none is there."""
+    store = Store.open(spark, scratch(spark, "empty"))
+    return store.multi_get(asked_keys(spark, sf_dir)).select(F.hex("key").alias("k"), "found")
+
+
+@query(SQL_LOG + "half AS (SELECT max(seq) // 2 AS h FROM log), latest AS (SELECT k, max(seq) AS seq, arg_max(v, seq) AS v FROM log, half WHERE seq <= h GROUP BY k) SELECT k, seq, v, true AS unclean, CAST(1 AS BIGINT) AS removed FROM latest")
+def kv_unclean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last batch loses its marker, as if its writer had died: it is noticed at open, not seen, and removed."""
+    store, log = Store.open(spark, scratch(spark, "unclean")), events_log(spark, sf_dir)
+    half = log.agg(F.max("seq")).first()[0] // 2
+    store.write(log.filter(F.col("seq") <= half))
+    store.files.delete(f"log/{store.write(log.filter(F.col('seq') > half))}/_SUCCESS")
+    again = Store.open(spark, str(store.files.root))
+    unclean, removed = again.unclean, len(again.recover())
+    out = rows_of(again.view()).withColumn("v", F.decode("v", "UTF-8"))
+    return out.withColumns({"unclean": F.lit(unclean), "removed": F.lit(removed).cast("bigint")})
+
+
+@query(SQL_LATEST + "SELECT CAST(1 AS BIGINT) AS refused, count(*) AS reopened, true AS has_bytes, max(seq) AS last_seq FROM latest")
+def kv_close_reopen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A closed store refuses to be read; opened again it has its rows, its size and its last sequence."""
+    store, refused = _store(spark, sf_dir), 0
+    store.close()
+    try:
+        store.view()
+    except StoreError:
+        refused = 1
+    again = Store.open(spark, str(store.files.root))
+    return again.view().agg(F.count("*").alias("reopened")).select(F.lit(refused).cast("bigint").alias("refused"), "reopened", F.lit(again.size() > 0).alias("has_bytes"), F.lit(again.log.last_seq()).cast("bigint").alias("last_seq"))
+
+
+@query(SQL_LATEST + ", " + SQL_ASKED + "SELECT a.k, l.v FROM asked a JOIN latest l ON a.k = l.k")
+def kv_bucket_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookups by an internal bucket first and the key inside it."""
+    view, asked = views.latest(events_log(spark, sf_dir)), asked_keys(spark, sf_dir).distinct()
+    there, wanted = (x.withColumn("bucket", views.bucketed(x, 256)) for x in (view, asked))
+    return wanted.join(there, ["bucket", "key"]).select(F.hex("key").alias("k"), F.col("value").alias("v"))
+
+
+@query(SQL_LATEST + "SELECT k, v, count(*) OVER () AS n FROM latest WHERE k >= '4000000000000000' AND k < '8000000000000000'")
+def kv_cached_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of a range, held in the executors' memory and read twice: once to count them, once to show them."""
+    rows = _store(spark, sf_dir).cached(LOW, HIGH)
+    n = rows.count()
+    return rows.select(F.hex("key").alias("k"), F.decode("value", "UTF-8").alias("v"), F.lit(n).alias("n"))
+
+
+def _sql_set(at: int, n: int, value: str) -> str:
+    """Hex of the key with n bytes of a number in it, least significant first."""
+    number = f"lpad(to_hex(CAST({value} AS BIGINT)), 16, '0')"
+    digits = ", ".join(f"substr({number}, {17 - 2 * j}, 2)" for j in range(1, n + 1))
+    return f"concat(substr(k, 1, {2 * at}), upper(concat({digits})), substr(k, {2 * (at + n) + 1}))"
+
+
+@query(
+    "WITH s AS (SELECT c_custkey, upper(substr(md5(CAST(c_custkey AS VARCHAR)), 1, 16)) AS k FROM customer) "
+    f"SELECT c_custkey, {_sql_set(3, 1, 'c_custkey % 128')} AS b, {_sql_set(1, 2, 'c_custkey')} AS s, {_sql_set(2, 4, '-c_custkey')} AS i, {_sql_set(0, 8, 'c_custkey * 1000003')} AS l, CAST(c_custkey * 1000003 AS BIGINT) AS back, concat(substr(k, 1, 10), 'ABCDEF') AS raw, CAST(NULL AS VARCHAR) AS beyond FROM s"
+)
+def kv_slice_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers and bytes put into a key, least significant byte first; a long is read back. What does not fit gives null."""
+    s, n = table(spark, sf_dir, "customer").select("c_custkey", codec.digest_key("c_custkey").alias("key")), F.col("c_custkey")
+    long = codec.write_little_endian("key", 0, n * 1000003, "long")
+    new = {
+        "b": codec.write_little_endian("key", 3, n % 128, "byte"), "s": codec.write_little_endian("key", 1, n, "short"), "i": codec.write_little_endian("key", 2, -n, "int"), "l": long,
+        "raw": codec.write_bytes("key", 5, F.unhex(F.lit("ABCDEF"))), "beyond": codec.write_bytes("key", 6, F.unhex(F.lit("ABCDEF"))),
+    }
+    return s.select("c_custkey", *(F.hex(v).alias(k) for k, v in new.items()), codec.read_little_endian(long, 0, "long").alias("back"))
+
+
 # Not of the key-value contract: what a view gives besides, being a table.
 
 

@@ -30,13 +30,15 @@ class Files:
         self.fs.delete(self._path(f"{self.root}/{sub}"), True)
 
     def write_text(self, sub: str, text: str) -> None:
-        """Whole or not at all: written aside, then moved."""
+        """Whole or not at all: written aside, then moved over what was there, in one step."""
         aside = self._path(f"{self.root}/.{sub.replace('/', '-')}.new")
         out = self.fs.create(aside, True)
         out.write(bytearray(text.encode()))
         out.close()
-        self.fs.delete(self._path(f"{self.root}/{sub}"), False)
-        self.fs.rename(aside, self._path(f"{self.root}/{sub}"))
+        rename = self.jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.root.toUri(), self.conf).rename(aside, self._path(f"{self.root}/{sub}"), how)
 
     def read_text(self, sub: str) -> str:
         stream = self.fs.open(self._path(f"{self.root}/{sub}"))

@@ -6,7 +6,9 @@ Batches are range-partitioned and sorted by key if asked, which lets point reads
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +17,7 @@ from keyloom.functions.codec import KEY_BYTES
 from keyloom.sources.files import Files
 
 SCHEMA = T.StructType([T.StructField("key", T.BinaryType(), False), T.StructField("seq", T.LongType(), False), T.StructField("value", T.BinaryType(), False)])
-MARKER = "_SUCCESS"
+MARKER, RECORD = "_SUCCESS", "_batch.json"
 
 
 def checked(rows: DataFrame) -> DataFrame:
@@ -45,6 +47,8 @@ class Log:
         rows = checked(rows)
         if ordered:
             rows = (rows.repartitionByRange(partitions, "key") if partitions else rows.repartitionByRange("key")).sortWithinPartitions("key", "seq")
+        seen = Observation()
+        rows = rows.observe(seen, F.max("seq").alias("last"), F.count(F.lit(1)).alias("rows"))
         try:
             rows.write.mode("errorifexists").parquet(self.files.uri(f"log/{name}"))
         except Exception as e:
@@ -52,20 +56,25 @@ class Log:
                 self.files.delete(f"log/{name}")
                 raise StoreError(Code.INVALID_ARGUMENT, "a row has a key of another length or a null") from e
             raise StoreError(Code.IO_ERROR, f"batch {name} was not committed") from e
+        self.files.write_text(f"log/{name}/{RECORD}", json.dumps({"last_seq": seen.get["last"] if seen.get["last"] is not None else -1, "rows": seen.get["rows"]}))
         if not self.files.exists(f"log/{name}/{MARKER}"):
             self.files.write_text(f"log/{name}/{MARKER}", "")
         return name
 
     def read(self, names: list[str] | None = None) -> DataFrame:
-        """The rows of committed batches, as of now."""
+        """The rows of committed batches, as of now, with the number of their batch."""
         names = self.batches() if names is None else names
         if not names:
-            return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(*(self.files.uri(f"log/{b}") for b in names))
+            return self.spark.createDataFrame([], SCHEMA).withColumn("batch", F.lit(0).cast("bigint"))
+        rows = self.spark.read.schema(SCHEMA).parquet(*(self.files.uri(f"log/{b}") for b in names))
+        return rows.withColumn("batch", F.regexp_extract(F.col("_metadata.file_path"), r"/batch-([0-9]+)/[^/]*$", 1).cast("bigint"))
 
     def last_seq(self) -> int:
-        """The greatest committed sequence, -1 for none; a maximum over file statistics."""
-        return self.read().agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
+        """The greatest committed sequence, -1 for none, from the batches' records; a batch without one is read."""
+        names = self.batches()
+        noted = {b: json.loads(self.files.read_text(f"log/{b}/{RECORD}"))["last_seq"] for b in names if self.files.exists(f"log/{b}/{RECORD}")}
+        rest = [b for b in names if b not in noted]
+        return max([-1, *noted.values(), *([self.read(rest).agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]] if rest else [])])
 
     def drop_uncommitted(self) -> list[str]:
         gone = self.uncommitted()

@@ -1,13 +1,15 @@
 """The raw 12-byte log as a Spark data source: spark.read.format("wal12").load(folder or file).
 
-Files are cut at record ends into ranges of RANGE_RECORDS, one partition each, and come as Arrow batches. Zero records that a writer
-left at a file's end are dropped unless option("trim", "false") is set.
+Files are cut at record ends into ranges, and small files are put together, so that a partition has RANGE_RECORDS records at most.
+Records come as Arrow batches, read by position and decoded as arrays. Zero records that a writer left at a file's end are
+dropped unless option("trim", "false") is set.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
@@ -15,13 +17,18 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from keyloom.functions.codec import KEY_BYTES, RECORD_BYTES
 
-RANGE_RECORDS, BATCH_RECORDS = 1 << 20, 1 << 16
+RANGE_RECORDS, LEAST_RECORDS, BATCH_RECORDS = 1 << 20, 1 << 14, 1 << 16
+#: Partitions that a log is dealt to if it is neither very small nor very large.
+PARTITIONS = 64
 SCHEMA = pa.schema([("file", pa.string()), ("position", pa.int64()), ("key", pa.binary()), ("seq", pa.int64())])
+RECORD = np.dtype([("key", f"V{KEY_BYTES}"), ("seq", "<i4")])
 
 
-class Range(InputPartition):
-    def __init__(self, path: str, first: int, records: int) -> None:
-        self.path, self.first, self.records = path, first, records
+class Ranges(InputPartition):
+    """(path, first record, records) of pieces of files."""
+
+    def __init__(self, pieces: list[tuple[str, int, int]]) -> None:
+        self.pieces = pieces
 
 
 class Records(DataSource):
@@ -36,32 +43,47 @@ class Records(DataSource):
         return RecordsReader(self.options)
 
 
+def decoded(raw: bytes, path: str, first: int, trim: bool) -> pa.RecordBatch:
+    """Records from their bytes; first is the position of the first one."""
+    a = np.frombuffer(raw, dtype=RECORD)
+    at = np.arange(first, first + len(a))
+    if trim:
+        keep = (a["seq"] != 0) | (at == 0)
+        a, at = a[keep], at[keep]
+    keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(KEY_BYTES), len(a), [None, pa.py_buffer(a["key"].tobytes())]).cast(pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([path], pa.string()).take(pa.array(np.zeros(len(a), dtype=np.int64))), pa.array(at), keys, pa.array(a["seq"].astype(np.int64))], schema=SCHEMA)
+
+
 class RecordsReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         path = options["path"]
         self.uri = path if "://" in path or path.startswith("file:") else f"file://{path}"
         self.trim = str(options.get("trim", "true")).lower() != "false"
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         fs, base = pafs.FileSystem.from_uri(self.uri)
         info = fs.get_file_info(base)
         files = [info] if info.type == pafs.FileType.File else sorted((f for f in fs.get_file_info(pafs.FileSelector(base)) if f.type == pafs.FileType.File and f.base_name.startswith("wal-")), key=lambda f: f.path)
-        return [Range(f.path, k, min(RANGE_RECORDS, f.size // RECORD_BYTES - k)) for f in files for k in range(0, f.size // RECORD_BYTES, RANGE_RECORDS)]
-
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+        size = sum(f.size // RECORD_BYTES for f in files)
+        most = min(RANGE_RECORDS, max(LEAST_RECORDS, -(-size // PARTITIONS)))
+        out, held = [[]], 0
+        for f in files:
+            at, n = 0, f.size // RECORD_BYTES
+            while at < n:
+                if held == most:
+                    out.append([])
+                    held = 0
+                take = min(n - at, most - held)
+                out[-1].append((f.path, at, take))
+                at, held = at + take, held + take
+        return [Ranges(p) for p in out]
+
+    def read(self, part: Ranges) -> Iterator[pa.RecordBatch]:
         fs, _ = pafs.FileSystem.from_uri(self.uri)
-        with fs.open_input_file(part.path) as f:
-            for k in range(part.first, part.first + part.records, BATCH_RECORDS):
-                raw = f.read_at(RECORD_BYTES * min(BATCH_RECORDS, part.first + part.records - k), RECORD_BYTES * k)
-                keys, seqs, at = [], [], []
-                for i in range(0, len(raw), RECORD_BYTES):
-                    seq = int.from_bytes(raw[i + KEY_BYTES : i + RECORD_BYTES], "little", signed=True)
-                    position = k + i // RECORD_BYTES
-                    if position == 0 or seq or not self.trim:
-                        keys.append(raw[i : i + KEY_BYTES])
-                        seqs.append(seq)
-                        at.append(position)
-                yield pa.RecordBatch.from_arrays([pa.array([part.path] * len(keys), pa.string()), pa.array(at, pa.int64()), pa.array(keys, pa.binary()), pa.array(seqs, pa.int64())], schema=SCHEMA)
+        for path, first, n in part.pieces:
+            with fs.open_input_file(path) as f:
+                for k in range(first, first + n, BATCH_RECORDS):
+                    yield decoded(f.read_at(RECORD_BYTES * min(BATCH_RECORDS, first + n - k), RECORD_BYTES * k), path, k, self.trim)
 
 
 def register(spark: SparkSession) -> None:

@@ -25,7 +25,7 @@ def latest_stream(log: DataFrame) -> DataFrame:
 
 
 def run_to_memory(stream: DataFrame, name: str, checkpoint: str | None = None, mode: str = "complete") -> DataFrame:
-    """Run all that is there and give the resulting in-memory table (for tests and small views)."""
+    """Run all that is there and give the resulting in-memory table. For tests of small views: the driver holds the whole of it."""
     writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
     query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
     query.awaitTermination()

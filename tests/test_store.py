@@ -148,3 +148,61 @@ def test_empty_log(spark, tmp_path):
     assert store.range().count() == 0 and store.log.last_seq() == -1
     assert views.positioned(store.view()).count() == 0
     assert store.multi_get(spark.createDataFrame([(bytearray(8),)], "key binary")).first()["found"] == 0
+
+
+def test_value_slots_are_read_by_position(spark, tmp_path):
+    folder = str(tmp_path / "raw")
+    log = rows_of(spark, [(bytes([64 * (i % 3)]) + k8(i)[1:], i // 3, b"value %d" % i) for i in range(60)])
+    raw.write_values(log, folder, width=32)
+    assert sorted(os.path.getsize(tmp_path / "raw" / f) for f in os.listdir(tmp_path / "raw") if not f.startswith(".")) == [640] * 3
+    asked = spark.createDataFrame([(256 * (i % 3), i // 3, i) for i in range(0, 60, 7)] + [(0, 20, -1), (0, -1, -1), (5, 0, -1)], "shard bigint, seq bigint, i int")
+    got = {(r["shard"], r["seq"], r["i"]): r["value"] for r in raw.read_values(asked, folder, 32).collect()}
+    assert all(v is None if i < 0 else bytes(v).rstrip(b"\0") == b"value %d" % i and len(v) == 32 for (_, _, i), v in got.items()) and len(got) == 12
+    with pytest.raises(Exception, match="INVALID_ARGUMENT"):
+        raw.write_values(log, str(tmp_path / "narrow"), width=4)
+
+
+@pytest.mark.parametrize("grow", [1, 16, 20])
+def test_zero_tails_are_trimmed(spark, tmp_path, grow):
+    from keyloom.sources import records
+
+    log = rows_of(spark, [(bytes([i % 3]) + k8(i)[1:], i // 3, b"") for i in range(60)])
+    raw.write_records(log, str(tmp_path / "raw"), grow=grow)
+    records.register(spark)
+    sizes = [os.path.getsize(tmp_path / "raw" / f) // 12 for f in os.listdir(tmp_path / "raw") if f.startswith("wal-")]
+    assert all(n > 20 and n % grow == 0 for n in sizes)
+    assert spark.read.format("wal12").load(str(tmp_path / "raw")).count() == 60 == raw.trimmed(raw.read_records_by_file(spark, str(tmp_path / "raw"))).count()
+
+
+def test_earlier_batch_wins_a_tie(spark, tmp_path):
+    store = Store.open(spark, f"file://{tmp_path}/db")
+    for v in (b"z first", b"a second"):
+        store.write(rows_of(spark, [(k8(1), 5, v), (k8(2), 0, v)]))
+    store.refresh()
+    assert store.read(k8(1)) == b"z first"
+    store.compact()
+    store.write(rows_of(spark, [(k8(1), 5, b"a third")]))
+    store.refresh()
+    assert store.read(k8(1)) == b"z first"
+
+
+def test_batch_records_and_files_replaced_in_one_step(spark, tmp_path):
+    store = Store.open(spark, f"file://{tmp_path}/db")
+    store.write(rows_of(spark, [(k8(1), 41, b"v"), (k8(2), 7, b"v")]))
+    store.write(rows_of(spark, []))
+    assert store.log.last_seq() == 41
+    os.remove(tmp_path / "db/log/batch-000000000/_batch.json")
+    assert store.log.last_seq() == 41
+    store.files.write_text("a.txt", "one")
+    store.files.write_text("a.txt", "two")
+    assert store.files.read_text("a.txt") == "two" and [f for f in os.listdir(tmp_path / "db") if "new" in f] == []
+
+
+def test_cached_view_goes_with_refresh_and_close(spark, tmp_path):
+    store = Store.open(spark, f"file://{tmp_path}/db")
+    store.write(rows_of(spark, [(k8(i), i, b"v") for i in range(9)]))
+    store.refresh()
+    kept = store.cached(k8(3))
+    assert kept.count() == 6 and kept.storageLevel.useMemory
+    store.close()
+    assert not kept.storageLevel.useMemory

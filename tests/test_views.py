@@ -124,3 +124,35 @@ def test_filters_reach_the_files(spark, tmp_path):
     assert "GreaterThanOrEqual(key" in plan and "LessThan(key" in plan
     plan = views.index(spark.read.parquet(str(tmp_path / "log")))._jdf.queryExecution().executedPlan().toString()
     assert "value" not in plan.split("ReadSchema:")[1]
+
+
+def test_positions_of_keys_that_share_their_first_bytes(spark, monkeypatch):
+    monkeypatch.setattr(views, "PARTS", 8)
+    rows = spark.createDataFrame([(bytearray(b"\x3f\x00" + i.to_bytes(6, "big")), i) for i in range(500)] + [(bytearray(b"\xff" * 8), 500)], "key binary, i int")
+    got = views.positioned(rows).collect()
+    assert {r["i"]: r["pos"] for r in got} == {i: i for i in range(501)}
+    parts = rows.withColumn("p", views.spread(rows, F.col("i").cast("bigint"))).groupBy("p").count().collect()
+    assert len(parts) == 8 and max(r["count"] for r in parts) < 100
+    seq = views.sequenced(rows, "i", 10).collect()
+    assert {r["i"]: r["seq"] for r in seq} == {**{i: i for i in range(500)}, 500: 0}
+    assert views.positioned(rows.filter("false")).count() == 0
+
+
+def test_order_check_finds_violations(spark):
+    rows = spark.createDataFrame([(bytearray(bytes([k] * 8)), p) for p, k in enumerate([1, 2, 2, 5, 4, 9, 1])], "key binary, pos bigint")
+    assert tuple(checks.order_violations(rows).first()) == (3, 7)
+
+
+def test_row_visitors_get_their_rows_in_order(spark):
+    import pyarrow as pa
+
+    rows = spark.createDataFrame([(bytearray(bytes([k] * 8)), bytearray(b"v")) for k in (200, 3, 90, 128, 7, 255)], "key binary, value binary").repartition(3)
+
+    def make():
+        return lambda b: pa.RecordBatch.from_arrays([pa.array([k[0] for k in b.column("key").to_pylist()], pa.int64())], names=["first"])
+
+    visitors = [shared.RowVisitor("low", None, bytes([128] * 8), make), shared.RowVisitor("mid", bytes([7] * 8), bytes([200] * 8), make), shared.RowVisitor("none", bytes([9] * 8), bytes([8] * 8), make)]
+    out = {}
+    for r in shared.visit_rows(rows, visitors, "first bigint").collect():
+        out.setdefault(r["visitor"], []).append(r["first"])
+    assert out == {"low": [3, 7, 90], "mid": [7, 90, 128]}
