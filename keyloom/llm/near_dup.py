@@ -4,23 +4,24 @@
    K minima. Texts with equal sets are one class; its representative is the smallest doc_id. From here on only
    representatives count, so a text copied a million times is one row.
 2. Inverted join: every representative is posted under each (coordinate, value) pair that another shares. Two sets at
-   similarity 0.75 agree in 48 of 64 coordinates on average; a pair needs T = 32 agreements (4.6 standard deviations below: a
-   link at exactly 0.75 is missed once in about 100,000, a stronger one far less often). A document with fewer than T shared
+   similarity 0.75 agree in 48 of 64 coordinates on average; a pair needs T = 24 agreements. A link at exactly 0.75 has fewer with
+   probability 5e-11 (the binomial tail; 7 standard deviations), a stronger one far less often. A document with fewer than T shared
    pairs has no partner. Prefix: of n shared pairs only the n - T + 1 rarest are posted, since two documents with T common pairs
    have at least one of those in common; the T - 1 most frequent pairs, those of passages on very many pages, are skipped.
 3. Hubs: of each posting list, the member whose pairs are the most frequent (the likeliest common original) and one by hash are
    proposed to all others: linear in the postings, whatever the size of a list. Agreements are counted on whole signatures,
    each document's best proposal is confirmed on the shingle sets, and components are formed.
-4. The rest: lists whose members lie in several components so far join these to loose groups. Inside a group every pair of
-   documents from different components that can reach the threshold is tried: an inverted index over the rarest shingles (an
-   exact prefix filter on sets), then agreements >= T, then the sets. Pairs are counted inside a task; only links that join two
-   components are emitted. Groups are cut into blocks of at most BLOCK_SHINGLES, small ones too, into up to SPREAD blocks of
-   BLOCK_DOCS; every pair of blocks meets, and the largest component of a group is not held against itself.
+4. The rest: lists whose members lie in several components so far join these to loose groups. Inside a group the posting lists of
+   documents from different components are merged and collisions counted, with prefix and skip: a document's rarest lists are
+   merged, its T - 1 longest are skipped and looked up only for the candidates that the merge gives. Pairs of T collisions or more
+   are confirmed on the sets. Pairs are counted inside a task; only links that join two components are emitted. A hot list is so
+   split by pairs of slices: groups are cut into blocks of at most BLOCK_SHINGLES and, growing with the root of the group, at most
+   BLOCK_DOCS documents; every pair of blocks meets, and the largest component of a group is not held against itself.
 
 So no pair is lost to a cap, and neither copies nor near copies are expanded into all pairs.
 
 Defined results: null or empty texts, or texts without words, have n_shingles 0 and are linked with nothing; texts of fewer
-than 5 words are one shingle. Rows that repeat a doc_id are one document as far as links go, and each gets its row. A row with
+than 5 words are one shingle. Very long texts are read whole. An empty table gives no rows. Rows that repeat a doc_id are one document as far as links go, and each gets its row. A row with
 a null doc_id has a null component_id, is linked with nothing and kept. Other columns are ignored.
 """
 
@@ -36,13 +37,12 @@ from pyspark.sql import functions as F
 from keyloom.llm.common import WordHash, Workspace, broadcast_if_few, map_batches, runs_hash, texts
 from keyloom.llm.components import components
 
-SHINGLE, K, T = 5, 64, 32
+SHINGLE, K, T = 5, 64, 24
 #: A link: 100 * intersection >= LEAST * union.
 LEAST = 75
-#: Shingles (8 bytes each) of the documents of one block; two blocks meet in a task.
-BLOCK_SHINGLES = 1_500_000
-#: A group of fewer shingles is dealt to so many tasks' blocks, of some documents each, so that no task has the whole of it.
-SPREAD, BLOCK_DOCS = 8, 200
+#: Shingles (8 bytes each) and documents of one block; two blocks meet in a task. Blocks of a group have ROOTS times the root of its
+#: documents, LEAST_DOCS at least, so that a group of some hundreds is not one task's.
+BLOCK_SHINGLES, BLOCK_DOCS, LEAST_DOCS, ROOTS = 1_500_000, 2000, 150, 8
 MULTIPLIERS = np.random.default_rng(20).integers(1, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 _HASH: list[WordHash] = []
@@ -112,24 +112,18 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def meet(ids: np.ndarray, side: np.ndarray, comp: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links that join two components, among documents of side 0 with those of side 1 (or among all, if there is one side).
 
-    Candidates come from an inverted index over each set's rarest shingles: two sets with a link have one of those in common.
+    Candidates come from the posting lists of (coordinate, value) pairs: of a document's n lists with others the n - T + 1 shortest
+    are merged, the T - 1 longest are skipped and looked up for the candidates alone.
     """
     one = bool((side == side[0]).all())
-    flat = np.concatenate(sets)
-    _, inverse, df = np.unique(flat, return_inverse=True, return_counts=True)
-    rank = np.empty(len(df), dtype=np.int64)
-    rank[np.argsort(df, kind="stable")] = np.arange(len(df))
-    coded, df = rank[inverse], np.sort(df, kind="stable")
-    edges = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-    code = [np.sort(coded[edges[k] : edges[k + 1]]) for k in range(len(sets))]
-    size = np.diff(edges)
-    head = [c[: n - (n * LEAST + 99) // 100 + 1] for c, n in zip(code, size, strict=True)]
-    head = [c[df[c] > 1] for c in head]
-    index: dict[int, list[int]] = {}
-    for k in range(len(sets)):
-        if one or side[k] == 1:
-            for e in head[k].tolist():
-                index.setdefault(e, []).append(k)
+    _, inverse, df = np.unique((np.arange(K, dtype=np.int64) << 32) | (sigs.astype(np.int64) & 0xFFFFFFFF), return_inverse=True, return_counts=True)
+    pairs = inverse.reshape(-1, K)
+    posted = np.arange(len(sets)) if one else np.flatnonzero(side == 1)
+    flat = pairs[posted].ravel()
+    order = np.argsort(flat, kind="stable")
+    owner, edges = posted[order // K], np.searchsorted(flat[order], np.arange(len(df) + 1))
+    length = np.diff(edges)
+    size = np.array([len(s) for s in sets], dtype=np.int64)
     parent = {int(c): int(c) for c in comp}
 
     def root(c: int) -> int:
@@ -138,27 +132,24 @@ def meet(ids: np.ndarray, side: np.ndarray, comp: np.ndarray, sigs: np.ndarray,
             c = parent[c]
         return c
 
-    mark, out = np.zeros(len(df), dtype=bool), []
+    out = []
     for k in range(len(sets)):
         if not one and side[k] == 1:
             continue
-        near = [index[e] for e in head[k].tolist() if e in index]
-        if not near:
+        lists = pairs[k][df[pairs[k]] > 1]
+        if len(lists) < T:
             continue
-        c = np.unique(np.concatenate([np.asarray(x, dtype=np.int64) for x in near]))
+        lists = lists[np.argsort(length[lists], kind="stable")][: len(lists) - T + 1]
+        c = np.unique(np.concatenate([owner[edges[e] : edges[e + 1]] for e in lists.tolist()]))
         c = c[(c > k) if one else slice(None)]
         c = c[(comp[c] != comp[k]) & (size[c] * 100 >= LEAST * size[k]) & (size[k] * 100 >= LEAST * size[c])]
         agree = (sigs[c] == sigs[k]).sum(axis=1)
         c, agree = c[agree >= T], agree[agree >= T]
-        mark[code[k]] = True
         for j in c[np.argsort(-agree, kind="stable")].tolist():
             a, b = root(int(comp[k])), root(int(comp[j]))
-            if a != b:
-                common = int(mark[code[j]].sum())
-                if 100 * common >= LEAST * (size[k] + size[j] - common):
-                    parent[max(a, b)] = min(a, b)
-                    out.append((int(ids[k]), int(ids[j])))
-        mark[code[k]] = False
+            if a != b and linked(sets[k], sets[j]):
+                parent[max(a, b)] = min(a, b)
+                out.append((int(ids[k]), int(ids[j])))
     return out
 
 
@@ -168,7 +159,8 @@ def _rest(groups: DataFrame, sets: DataFrame) -> DataFrame:
     whole = sizes.groupBy("grp").agg(F.max(F.struct("n", "comp", "docs")).alias("top"), F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
     def parts(n: F.Column, docs: F.Column) -> F.Column:
-        return F.greatest(F.lit(1), F.ceil(n / BLOCK_SHINGLES), F.least(F.lit(SPREAD), F.ceil(docs / BLOCK_DOCS))).cast("int")
+        each = F.least(F.lit(float(BLOCK_DOCS)), F.greatest(F.lit(float(LEAST_DOCS)), ROOTS * F.sqrt(docs)))
+        return F.greatest(F.lit(1), F.ceil(n / BLOCK_SHINGLES), F.ceil(docs / each)).cast("int")
 
     largest = whole.select("grp", F.col("top.comp").alias("top"), parts(F.col("top.n"), F.col("top.docs")).alias("nc"), parts(F.col("n") - F.col("top.n"), F.col("docs") - F.col("top.docs")).alias("nx"))
     g = groups.join(largest, "grp")

@@ -125,3 +125,39 @@ def test_components_of_chains_and_stars(spark):
         parent[max(x, y)] = min(x, y)
     assert got == {x: root(x) for x in parent if any(x in e and e[0] != e[1] for e in edges)}
     assert components(df.filter("false"), Workspace(spark, "t"), "none").count() == 0
+
+
+def test_a_link_is_hardly_ever_missed():
+    from math import comb
+
+    missed = sum(comb(near_dup.K, k) * 0.75**k * 0.25 ** (near_dup.K - k) for k in range(near_dup.T))
+    assert missed < 1e-10
+
+
+@pytest.mark.parametrize("one", [True, False])
+def test_merged_lists_give_all_pairs_with_enough_collisions(one):
+    """Components that are tied by pairs of T collisions and the sets' similarity, by plain comparison of all pairs."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    bases = rng.integers(0, 1 << 60, (6, 300)).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(bases[i % 6])[: rng.integers(220, 301)], rng.integers(0, 1 << 60, rng.integers(0, 40)).astype(np.uint64)])) for i in range(90)]
+    sigs = np.stack([near_dup.signature(s) for s in sets])
+    side = np.zeros(90, dtype=int) if one else np.arange(90) // 6 % 2
+    ids = np.arange(90)
+    got = near_dup.meet(ids, side, ids, sigs, sets)
+    want = [(a, b) for a in range(90) for b in range(a + 1, 90) if (one or side[a] != side[b]) and (sigs[a] == sigs[b]).sum() >= near_dup.T and near_dup.linked(sets[a], sets[b])]
+
+    def groups(links):
+        parent = list(range(90))
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in links:
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+        return [root(x) for x in range(90)]
+
+    assert groups(got) == groups(want) and 0 < len(got) <= len(want)
