@@ -9,11 +9,15 @@ and the sentences after it, SENTENCES of them at least and as many as make WORDS
 first). Runs are equal if their words are, A-Z lower-cased. Of the occurrences of a run the first stays: the first in the
 document with the smallest doc_id. Sentences that any other occurrence covers are removed, all else stays byte for byte.
 
+Runs are told apart by 96 bits, 64 of one hash and 32 of a second, both over two independent hashes of each sentence's words: among
+a trillion different runs a false pair is expected once in about 100,000 tables.
+
 Runs are arrays of hashes by document, staged once. They are counted by hash with partial sums, so a run on a third of all
 documents is one row a task; joined back by hash (a join whose hot partitions Spark splits); gathered by document as two
 arrays that are no longer than the document itself.
 
-Defined results: a null text is empty, with no sentences, and stays as it is (text null). Rows that repeat a doc_id are one
+Defined results: a null text is empty, with no sentences, and stays as it is (text null). Very long texts are read whole. An empty
+table gives no rows. Rows that repeat a doc_id are one
 document in the order of occurrences: both keep their first. A null doc_id is the last in that order. Other columns are ignored.
 """
 
@@ -39,9 +43,9 @@ WORD = re.compile(rb"\S+")
 
 
 def sentences(raw: bytes) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
-    """Byte spans of the sentences (pieces without words belong to none), their hashes and numbers of words."""
+    """Byte spans of the sentences (pieces without words belong to none), their two hashes (a row each) and numbers of words."""
     spans, hashes, counts, at = [], [], [], 0
-    low, one = raw.lower(), xxhash.xxh3_64_intdigest
+    low, one = raw.lower(), xxhash.xxh3_128_digest
 
     def add(a: int, b: int, words: list[bytes]) -> None:
         spans.append((a, b))
@@ -64,7 +68,7 @@ def sentences(raw: bytes) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray
         elif words:
             add(at, end, words)
         at = end
-    return spans, np.array(hashes, dtype=np.uint64), np.array(counts, dtype=np.int64)
+    return spans, np.frombuffer(b"".join(hashes), dtype=np.uint64).reshape(-1, 2).T, np.array(counts, dtype=np.int64)
 
 
 def runs(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,21 +91,23 @@ def _slim(docs: DataFrame) -> DataFrame:
 
 def run_hashes(docs: DataFrame) -> DataFrame:
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = []
+        found, second = [], []
         for t in batch.column("text").to_pylist():
             _, hashes, counts = sentences((t or "").encode("utf-8", "surrogatepass"))
-            found.append(runs(hashes, counts)[0].view(np.int64))
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in found])]), pa.int32()), pa.array(np.concatenate(found), pa.int64()))
+            found.append(runs(hashes[0], counts)[0].view(np.int64))
+            second.append((runs(hashes[1], counts)[0] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+        both = pa.StructArray.from_arrays([pa.array(np.concatenate(found), pa.int64()), pa.array(np.concatenate(second), pa.int32())], names=["h", "g"])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in found])]), pa.int32()), both)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "runs"])
 
-    return map_batches(_slim(docs), f, "doc_id bigint, runs array<bigint>").withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
+    return map_batches(_slim(docs), f, "doc_id bigint, runs array<struct<h:bigint,g:int>>").withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
 
 
 def cut(text: str, first: set[int], later: set[int]) -> tuple[str, int, int]:
     """The text without the sentences of repeated runs (first: runs whose first occurrence is in this text), their number, and the number of all."""
     raw = text.encode("utf-8", "surrogatepass")
     spans, hashes, counts = sentences(raw)
-    found, end = runs(hashes, counts)
+    found, end = runs(hashes[0], counts)
     gone, seen = np.zeros(len(spans), dtype=bool), set()
     for k, h in enumerate(found.view(np.int64).tolist()):
         if h in later or h in seen:
@@ -123,9 +129,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_sentences, n_removed, text (what stays)."""
     work = Workspace(docs.sparkSession, "spans")
     by_doc = work.stage(run_hashes(docs).filter(F.size("runs") > 0), "runs")
-    flat = by_doc.select("doc_id", F.explode("runs").alias("h"))
-    repeated = flat.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1").select("h", "first")
-    hit = flat.join(work.stage(repeated, "repeated"), "h")  # from a table, so both sides are plain exchanges and hot partitions split
+    flat = by_doc.select("doc_id", F.inline("runs"))
+    repeated = flat.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1").select("h", "g", "first")
+    hit = flat.join(work.stage(repeated, "repeated"), ["h", "g"])  # from a table, so both sides are plain exchanges and hot partitions split
     marks = hit.groupBy("doc_id").agg(F.collect_set(F.when(F.col("first") == F.col("doc_id"), F.col("h"))).alias("firsts"), F.collect_set(F.when(F.col("first") < F.col("doc_id"), F.col("h"))).alias("laters"))
     rows = _slim(docs).withColumn("_key", F.coalesce("doc_id", F.lit(LAST))).join(marks.withColumnRenamed("doc_id", "_key"), "_key", "left").select("doc_id", "text", "firsts", "laters")
 

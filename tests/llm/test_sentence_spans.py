@@ -112,3 +112,21 @@ def test_linear_on_awkward_texts():
     for t in ("." * 300_000, "a " * 30 + "b" * 300_000, "!? " * 100_000, "\n" * 300_000, "the " * 100_000, "é" * 200_000 + " x" * 40):
         s.cut(t, set(), set())
     assert time.time() - began < 15
+
+
+def test_runs_with_one_equal_hash_are_no_repeats(spark, monkeypatch):
+    """The first hash is the same for all runs; the second tells them apart."""
+    real = s.runs
+
+    def poor(hashes, counts):
+        h, end = real(hashes, counts)
+        return (h, end) if poor.calls.append(0) or len(poor.calls) % 2 == 0 else (h * s.np.uint64(0), end)
+
+    poor.calls = []
+    monkeypatch.setattr(s, "runs", poor)
+    batch = s.pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["One sentence with enough words in it. Another sentence with enough words in it. And one more of the kind is here too. "]})
+    kept = []
+    monkeypatch.setattr(s, "map_batches", lambda df, f, schema: kept.append(f) or df)
+    s.run_hashes(documents(spark, [(1, "x")]))
+    rows = kept[0](batch).column("runs").to_pylist()[0]
+    assert {r["h"] for r in rows} == {0} and len({r["g"] for r in rows}) == len(rows) == 2
