@@ -4,18 +4,23 @@ Layout under the root, which must be a folder that all executors reach:
 
     manifest.json     end id, bytes an id, and of every shard: first and last key, documents, ids, ids of all shards before it
     shard-N.ids       the ids of the shard's documents one after another, little-endian, 2 or 4 bytes each, nothing else
-    shard-N.mph       documents' keys and lengths in file order, then the index (see Mph)
-
-Documents lie in ascending order of their keys over all shards; each ends with the end id. Index lookups take one hash, one
-displacement and one fingerprint comparison, whatever the number of keys. A key that a shard lacks is told by its fingerprint
-(32 bits: one absent key in 4 billion passes) and then by the key table, so an answer is never wrong.
-
-A shard is one task's partition of a range partitioning; it is written under a name of the attempt's own and then moved, so a
-task that is run again after the loss of an executor replaces its file whole. Only one line a shard goes to the driver.
-
-Defined results: a null text is empty (its end id remains). Keys that repeat are kept, all of them, next to each other; the
-index gives the first and their number. A null key comes first in the file and is not in the index. An empty table writes a
-manifest without shards. Other columns are ignored.
+    shard-N.mph       the index (see Mph) over the shard's keys; then, in file order, the documents' keys and where their ids start
+
+Documents lie in ascending order of their keys over all shards; each ends with the end id. A lookup finds the shard by bisection in
+the manifest, hashes the key, reads one slot and compares the fingerprint; the slot holds the document's place and the offset and
+number of its ids. An opened shard reads its header and bit fields (about four bits a key), then 28 bytes a lookup, whatever its size.
+A key that a shard lacks is told by its fingerprint (32 bits: one absent key in 4 billion passes) and then by the key table, so an
+answer is never wrong.
+
+Texts are encoded where they are read; ids are staged and dealt by ranges of keys, never texts. There are about SHARDS shards,
+fewer or more if they would have less than LEAST_IDS or more than MOST_IDS ids, whatever the session's settings. A shard is one task's range; it is written under a name of the attempt's own and
+then moved, so a task that is run again after the loss of an executor replaces its file whole, and what a failed attempt wrote is
+deleted. Only one line a shard goes to the driver.
+
+Defined results: a null text is empty (its end id remains). Very long texts and words are encoded whole; words of over LONGEST_KEPT
+characters are not kept in the cache. Keys that repeat are kept, all of them, next to each other; the index gives the first and
+their number. A null key comes first in the file and is not in the index. An empty table writes a manifest without shards. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ import struct
 import uuid
 import zlib
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,88 +42,111 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import mix64, small_batches, texts
-
-M64 = (1 << 64) - 1
-NO_POSITION = 0xFFFFFFFF
+from keyloom.llm.common import Workspace, map_batches, mix64, small_batches, texts
 
-
-def _mix(x: int) -> int:
-    """mix64 for one Python integer."""
-    x ^= x >> 30
-    x = x * 0xBF58476D1CE4E5B9 & M64
-    x ^= x >> 27
-    x = x * 0x94D049BB133111EB & M64
-    return x ^ x >> 31
+NO_POSITION = 0xFFFFFFFFFFFFFFFF
+#: Shards of a table, of LEAST_IDS to MOST_IDS ids each (2 to 256 MB at 2 bytes); levels of an index at most.
+SHARDS, LEAST_IDS, MOST_IDS, MAX_LEVELS = 1024, 1_000_000, 128_000_000, 64
+#: Characters of a word that is kept for the next time it comes.
+LONGEST_KEPT = 64
+SLOT = np.dtype([("fingerprint", "<u4"), ("position", "<u8"), ("offset", "<u8"), ("ids", "<u8")])
 
 
 class Mph:
-    """Minimal perfect hash over distinct 64-bit keys: hash to a bucket, displace by the bucket's number, n slots for n keys.
+    """Minimal perfect hash over distinct 64-bit keys, n slots for n keys.
 
-    A slot holds the key's fingerprint and its position. Buckets of one key hold their slot itself, as a negative number.
+    Keys are hashed into a field of 2 bits a key; those that are alone at their bit have it set, the others go to the next level's
+    field, and so on. A key's slot is the number of set bits before its own. Building and lookups are array operations; a key takes
+    1.6 levels on average.
     """
 
-    KEYS_A_BUCKET = 3
+    BITS_A_KEY = 2
+
+    def __init__(self, sizes: np.ndarray, words: np.ndarray, slots: np.ndarray) -> None:
+        self.sizes, self.words, self.slots = sizes, words, slots
+        self.start = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)  # of the levels' fields, in words
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(words))]).astype(np.int64)  # set bits before each word
 
-    def __init__(self, displace: np.ndarray, fingerprint: np.ndarray, position: np.ndarray) -> None:
-        self.displace, self.fingerprint, self.position = displace, fingerprint, position
+    @property
+    def fingerprint(self) -> np.ndarray:
+        return self.slots["fingerprint"]
+
+    @staticmethod
+    def _at(h: np.ndarray, level: int, size: int) -> np.ndarray:
+        return (mix64(h + np.uint64((level + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) % np.uint64(64 * size)).astype(np.int64)
 
     @classmethod
-    def build(cls, keys: np.ndarray, position: np.ndarray) -> Mph:
-        n = len(keys)
-        h = mix64(keys.astype(np.int64).view(np.uint64))
-        n_buckets = max(1, n // cls.KEYS_A_BUCKET)
-        bucket = (h % np.uint64(n_buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-        sizes = np.diff(edges)
-        displace, slot_of, used, free = np.zeros(n_buckets, dtype=np.int64), np.zeros(n, dtype=np.int64), bytearray(n), 0
-        hashes = h.tolist()
-        for b in np.argsort(-sizes, kind="stable").tolist():
-            members = order[edges[b] : edges[b + 1]].tolist()
-            if len(members) > 1:
-                d = 0
-                while True:
-                    slots = [_mix(hashes[k] + d * 0x9E3779B97F4A7C15 & M64) % n for k in members]
-                    if len(set(slots)) == len(slots) and not any(used[s] for s in slots):
-                        break
-                    d += 1
-            elif members:
-                free = used.index(0, free)
-                slots, d = [free], -free - 1
-            else:
-                continue
-            displace[b] = d
-            for k, s in zip(members, slots, strict=True):
-                used[s], slot_of[k] = 1, s
-        out = cls(displace, np.zeros(n, dtype=np.uint32), np.zeros(n, dtype=np.uint32))
-        out.fingerprint[slot_of] = cls.fingerprints(h)
-        out.position[slot_of] = position
+    def build(cls, keys: np.ndarray, position: np.ndarray, offset: np.ndarray | None = None, ids: np.ndarray | None = None) -> Mph:
+        h = mix64(np.asarray(keys, dtype=np.int64).view(np.uint64))
+        left, sizes, fields = h, [], []
+        while len(left):
+            if len(sizes) == MAX_LEVELS:
+                raise ValueError("keys of an index must be distinct")
+            size = -(-cls.BITS_A_KEY * len(left) // 64)
+            at = cls._at(left, len(sizes), size)
+            count = np.bincount(at, minlength=64 * size)
+            fields.append(np.packbits(count == 1, bitorder="little").view(np.uint64))
+            left = left[count[at] != 1]
+            sizes.append(size)
+        out = cls(np.array(sizes, dtype=np.int64), np.concatenate(fields) if fields else np.zeros(0, dtype=np.uint64), np.zeros(len(h), dtype=SLOT))
+        slot = out._slot(h)
+        for name, values in (("fingerprint", cls.fingerprints(h)), ("position", position), ("offset", offset), ("ids", ids)):
+            if values is not None:
+                out.slots[name][slot] = values
         return out
 
     @staticmethod
     def fingerprints(h: np.ndarray) -> np.ndarray:
         return (mix64(h ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)).astype(np.uint32)
 
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        """The slot of each hash; -1 for a hash that no level has."""
+        out, todo = np.full(len(h), -1, dtype=np.int64), np.arange(len(h))
+        for level, size in enumerate(self.sizes.tolist()):
+            if not len(todo):
+                break
+            at = self._at(h[todo], level, size)
+            word, bit = self.start[level] + at // 64, (at % 64).astype(np.uint64)
+            found = (self.words[word] >> bit & np.uint64(1)) == 1
+            below = self.words[word] & ((np.uint64(1) << bit) - np.uint64(1))
+            out[todo[found]] = (self.before[word] + np.bitwise_count(below))[found]
+            todo = todo[~found]
+        return out
+
+    def slots_of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slot and fingerprint of each key (slot -1: surely absent)."""
+        h = mix64(np.asarray(keys, dtype=np.int64).view(np.uint64))
+        return self._slot(h), self.fingerprints(h)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The slots' contents, and whether the fingerprint agrees."""
+        slot, own = self.slots_of(keys)
+        if not len(self.slots):
+            return np.zeros(len(slot), dtype=SLOT), np.zeros(len(slot), dtype=bool)
+        found = self.slots[np.maximum(slot, 0)]
+        return found, (slot >= 0) & (found["fingerprint"] == own)
+
     def lookup(self, keys: np.ndarray) -> np.ndarray:
         """Positions of the keys, NO_POSITION where the fingerprint differs."""
-        n = len(self.fingerprint)
-        if n == 0:
-            return np.full(len(keys), NO_POSITION, dtype=np.uint32)
-        h = mix64(np.asarray(keys, dtype=np.int64).view(np.uint64))
-        d = self.displace[(h % np.uint64(len(self.displace))).astype(np.int64)]
-        moved = mix64(h + d.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(n)
-        slot = np.where(d < 0, -d - 1, moved.astype(np.int64))
-        return np.where(self.fingerprint[slot] == self.fingerprints(h), self.position[slot], np.uint32(NO_POSITION))
+        found, same = self.find(keys)
+        return np.where(same, found["position"], np.uint64(NO_POSITION))
 
     def to_bytes(self) -> bytes:
-        return struct.pack("<QQ", len(self.displace), len(self.fingerprint)) + self.displace.astype("<i8").tobytes() + self.fingerprint.astype("<u4").tobytes() + self.position.astype("<u4").tobytes()
+        return struct.pack("<QQQ", len(self.sizes), len(self.words), len(self.slots)) + self.sizes.astype("<i8").tobytes() + self.words.astype("<u8").tobytes() + self.slots.tobytes()
+
+    @staticmethod
+    def header(raw: bytes) -> tuple[int, int, int]:
+        """Levels, words and slots, from the first HEADER bytes."""
+        return struct.unpack_from("<QQQ", raw)
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> Mph:
-        b, n = struct.unpack_from("<QQ", raw)
-        at = 16 + 8 * b
-        return cls(np.frombuffer(raw, "<i8", b, 16), np.frombuffer(raw, "<u4", n, at), np.frombuffer(raw, "<u4", n, at + 4 * n))
+        levels, words, n = cls.header(raw)
+        at = HEADER + 8 * levels
+        return cls(np.frombuffer(raw, "<i8", levels, HEADER), np.frombuffer(raw, "<u8", words, at), np.frombuffer(raw, SLOT, n, at + 8 * words))
+
+
+HEADER = 24
 
 
 class WordEncoder:
@@ -146,6 +175,20 @@ class WordEncoder:
         self.merges = self.tokenizer.model.tokenize
         self.known: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {"": b""}
+        self.plain = not self.faithful()
+
+    #: Texts whose ids by words are held against the library's when a vocabulary is loaded.
+    TRIED = ("It's the 1st of MAY, isn't it?! Yes...", "Caf\u00e9 na\u00efve \u00c9t\u00e9, stra\u00dfe; \u00fcber \u00d8re \u00ff.", "a|b  | c\td\n\ne\r\nf", "don't we'll I'm x's 12,345.67 $5 #1 @home 50%", "snake_case camelCase ALLCAPS mixed3d 3d-print", "\u4e2d\u6587 \u65e5\u672c\u8a9e \ud55c\uad6d\uc5b4 \U0001f642\U0001f680", "<|endoftext|> <b>x</b> \u2014 \u201cq\u201d", " lead and trail ", "")
+
+    def faithful(self) -> bool:
+        """The vocabulary splits as this class takes for granted. If it does not, whole texts go to the library."""
+        self.plain = False
+        words = [w for t in self.TRIED for w in t.split()]
+        tried = [*self.TRIED, *words, *(w.upper() for w in words), " ".join(words), "\n".join(reversed(words))]
+        try:
+            return all(np.frombuffer(self(t), f"<u{self.width}").tolist() == self.tokenizer.encode(t, add_special_tokens=False).ids for t in tried)
+        except (KeyError, IndexError):
+            return False
 
     def _encode(self, new: list[str], into: dict[str, bytes]) -> None:
         kind = f"<u{self.width}"
@@ -187,6 +230,8 @@ class WordEncoder:
 
     def __call__(self, text: str) -> bytes:
         """The ids of a text, as little-endian bytes. A piece is looked up once, and text by text, so that the words stay in the processor's cache."""
+        if self.plain:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=f"<u{self.width}").tobytes()
         pieces = text.replace("\n", " ").split(" ")
         ids = list(map(self.known.get, pieces))
         if None in ids:
@@ -194,6 +239,10 @@ class WordEncoder:
             self.learn({pieces[i] for i in new})
             for i in new:
                 ids[i] = self.known[pieces[i]]
+            for w in {pieces[i] for i in new if len(pieces[i]) > LONGEST_KEPT}:
+                del self.known[w]
+                self.parts.clear()
+                self.parts[""] = b""
         return b"".join(ids)
 
 
@@ -214,35 +263,52 @@ def _folder(uri: str) -> tuple[pafs.FileSystem, str]:
 def _put(fs: pafs.FileSystem, path: str, parts: Iterator[bytes]) -> None:
     """Write under another name, then move: the file is there whole or not at all."""
     own = f"{path}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(own) as out:
-        for x in parts:
-            out.write(x)
+    try:
+        with fs.open_output_stream(own) as out:
+            for x in parts:
+                out.write(x)
+    except BaseException:
+        if fs.get_file_info(own).type == pafs.FileType.File:
+            fs.delete_file(own)
+        raise
     fs.move(own, path)
 
 
 SHARD = "shard int, first bigint, last bigint, docs bigint, ids bigint"
 
 
+def encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
+    """doc_id and ids (bytes, the end id last), where the texts are."""
+
+    def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+        encode = encoder(vocabulary)
+        end = np.array([end_id], dtype=f"<u{encode.width}").tobytes()
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([encode(t) + end for t in texts(batch)], pa.binary())], names=["doc_id", "ids"])
+
+    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_batches(slim, f, "doc_id bigint, ids binary")
+
+
 def write(docs: DataFrame, root: str, vocabulary: str, end_id: int) -> dict:
     """Encode every text and write the shards; returns the manifest."""
-    spark = docs.sparkSession
+    spark, work = docs.sparkSession, Workspace(docs.sparkSession, "ids")
     small_batches(spark)
     fs, base = _folder(root)
     fs.create_dir(base)
+    width = encoder(vocabulary).width
+    staged = work.stage(encoded(docs, vocabulary, end_id), "encoded")
+    total = staged.agg(F.sum(F.length("ids"))).first()[0] or 0
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, fs_base = encoder(vocabulary), _folder(root)
-        shard, fs, base = TaskContext.get().partitionId(), *fs_base
+        shard, (fs, base) = TaskContext.get().partitionId(), _folder(root)
         keys, lengths = [], []
-        end = np.array([end_id], dtype=f"<u{encode.width}").tobytes()
 
         def payload() -> Iterator[bytes]:
             for batch in batches:
                 keys.extend(batch.column("doc_id").to_pylist())
-                for t in texts(batch):
-                    raw = encode(t) + end
-                    lengths.append(len(raw) // encode.width)
-                    yield raw
+                raw = batch.column("ids").to_pylist()
+                lengths.extend(len(x) // width for x in raw)
+                yield b"".join(raw)
 
         name = f"{base}/shard-{shard:05d}"
         fs.create_dir(base)
@@ -252,47 +318,68 @@ def write(docs: DataFrame, root: str, vocabulary: str, end_id: int) -> dict:
             return
         nulls = sum(k is None for k in keys)
         real = np.array(keys[nulls:], dtype=np.int64)
+        starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], real[1:] != real[:-1]])) if len(real) else np.zeros(0, dtype=np.int64)
-        mph = Mph.build(real[first], first + nulls)
-        table = struct.pack("<QQ", len(keys), nulls) + np.concatenate([np.zeros(nulls, dtype=np.int64), real]).astype("<i8").tobytes() + np.array(lengths, dtype="<u8").tobytes()
-        _put(fs, f"{name}.mph", iter([table, mph.to_bytes()]))
+        at = first + nulls
+        mph = Mph.build(real[first], at, starts[at], starts[at + 1] - starts[at])
+        table = struct.pack("<QQ", len(keys), nulls) + np.concatenate([np.zeros(nulls, dtype=np.int64), real]).astype("<i8").tobytes() + starts.astype("<i8").tobytes()
+        _put(fs, f"{name}.mph", iter([mph.to_bytes(), table]))
         yield pa.RecordBatch.from_pydict({"shard": [shard], "first": [int(real[0]) if len(real) else None], "last": [int(real[-1]) if len(real) else None], "docs": [len(keys)], "ids": [sum(lengths)]}, schema=pa.schema([("shard", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
-    # the text's hash splits the rows of one key, should it repeat very often
-    dealt = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # a hash splits the rows of one key, should it repeat very often
+    split = F.xxhash64("ids")
+    each = min(MOST_IDS, max(LEAST_IDS, int(total) // width // SHARDS))
+    shards = max(1, -(-int(total) // (width * each)))
+    dealt = staged.repartitionByRange(shards, "doc_id", split).sortWithinPartitions("doc_id", split)
     rows = sorted((r.asDict() for r in dealt.mapInArrow(task, SHARD).collect()), key=lambda r: r["shard"])  # one row a task
+    work.drop("encoded")
     start = 0
     for r in rows:
         r["start"], start = start, start + r["ids"]
-    manifest = {"end_id": end_id, "bytes": encoder(vocabulary).width, "shards": rows}
+    manifest = {"end_id": end_id, "bytes": width, "shards": rows}
     _put(fs, f"{base}/manifest.json", iter([json.dumps(manifest).encode()]))
     return manifest
 
 
 class Shard:
-    """One shard's key table and index, and its ids read from the file by range."""
+    """One shard's index and its ids, read from the files by range; the key table only if it is asked for."""
 
     def __init__(self, root: str, manifest: dict, shard: dict) -> None:
         fs, base = _folder(root)
         name = f"{base}/shard-{shard['shard']:05d}"
-        with fs.open_input_file(f"{name}.mph") as f:
-            raw = f.read()
-        n, self.nulls = struct.unpack_from("<QQ", raw)
-        self.keys, self.lengths = np.frombuffer(raw, "<i8", n, 16), np.frombuffer(raw, "<u8", n, 16 + 8 * n).astype(np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
-        self.mph, self.width, self.file = Mph.from_bytes(raw[16 + 16 * n :]), manifest["bytes"], fs.open_input_file(f"{name}.ids")
-
-    def read(self, position: int) -> np.ndarray:
-        """The ids of the document at a position of the file."""
-        n = int(self.lengths[position])
-        return np.frombuffer(self.file.read_at(n * self.width, int(self.starts[position]) * self.width), f"<u{self.width}")
-
-    def positions(self, key: int) -> range:
-        """Where the documents of a key are: none, one, or several in a row."""
-        at = int(self.mph.lookup(np.array([key]))[0])
-        if at == NO_POSITION or self.keys[at] != key:
-            return range(0)
-        return range(at, int(np.searchsorted(self.keys[self.nulls :], key, side="right")) + self.nulls)
+        self.width, self.index, self.file = manifest["bytes"], fs.open_input_file(f"{name}.mph"), fs.open_input_file(f"{name}.ids")
+        levels, words, n = Mph.header(self.index.read_at(HEADER, 0))
+        fields = self.index.read_at(8 * (levels + words), HEADER)
+        self.slots_at = HEADER + 8 * (levels + words)
+        self.mph = Mph(np.frombuffer(fields, "<i8", levels), np.frombuffer(fields, "<u8", words, 8 * levels), np.zeros(0, dtype=SLOT))
+        self.table_at = self.slots_at + SLOT.itemsize * n
+        self.docs, self.nulls = struct.unpack("<QQ", self.index.read_at(16, self.table_at))
+
+    def whole(self) -> tuple[Mph, np.ndarray, np.ndarray]:
+        """The index with all slots, the keys and the starts of the documents, for a pass over the shard."""
+        raw = self.index.read_at(self.table_at - self.slots_at, self.slots_at)
+        table = self.index.read_at(16 * self.docs + 8, self.table_at + 16)
+        return Mph(self.mph.sizes, self.mph.words, np.frombuffer(raw, SLOT)), np.frombuffer(table, "<i8", self.docs), np.frombuffer(table, "<i8", self.docs + 1, 8 * self.docs)
+
+    def _numbers(self, at: int, n: int) -> np.ndarray:
+        return np.frombuffer(self.index.read_at(8 * n, self.table_at + 16 + 8 * at), "<i8")
+
+    def _ids(self, start: int, n: int) -> np.ndarray:
+        return np.frombuffer(self.file.read_at(n * self.width, start * self.width), f"<u{self.width}")
+
+    def get(self, key: int) -> Iterator[np.ndarray]:
+        """The ids of every document with a key: one hash, one slot, one comparison, and a look at the neighbours for repeats."""
+        slot, own = self.mph.slots_of(np.array([key]))
+        if slot[0] < 0:
+            return
+        found = np.frombuffer(self.index.read_at(SLOT.itemsize, self.slots_at + SLOT.itemsize * int(slot[0])), SLOT)[0]
+        at = int(found["position"])
+        if found["fingerprint"] != own[0] or self._numbers(at, 1)[0] != key:
+            return
+        yield self._ids(int(found["offset"]), int(found["ids"]))
+        while (at := at + 1) < self.docs and self._numbers(at, 1)[0] == key:
+            start, end = self._numbers(self.docs + at, 2).tolist()
+            yield self._ids(start, end - start)
 
 
 class Store:
@@ -302,16 +389,19 @@ class Store:
         self.root, (fs, base) = root, _folder(root)
         with fs.open_input_file(f"{base}/manifest.json") as f:
             self.manifest = json.loads(f.read())
+        self.shards = [s for s in self.manifest["shards"] if s["first"] is not None]  # in the order of their keys
+        self.last = [s["last"] for s in self.shards]
         self.opened: dict[int, Shard] = {}
 
     def get(self, key: int) -> list[np.ndarray]:
         """The ids of every document with this key."""
-        out = []
-        for s in self.manifest["shards"]:
-            if s["first"] is not None and s["first"] <= key <= s["last"]:
-                shard = self.opened.setdefault(s["shard"], None) or Shard(self.root, self.manifest, s)
-                self.opened[s["shard"]] = shard
-                out += [shard.read(p) for p in shard.positions(key)]
+        out, at = [], bisect_left(self.last, key)
+        while at < len(self.shards) and self.shards[at]["first"] <= key:  # more than one only if the key repeats over a shard's end
+            s = self.shards[at]
+            if s["shard"] not in self.opened:
+                self.opened[s["shard"]] = Shard(self.root, self.manifest, s)
+            out += self.opened[s["shard"]].get(key)
+            at += 1
         return out
 
 
@@ -324,20 +414,25 @@ def read_back(spark: SparkSession, root: str, manifest: dict) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for b in batches for r in b.to_pylist()):
             shard = Shard(root, manifest, row)
-            found = shard.mph.lookup(shard.keys)
-            found[: shard.nulls] = np.arange(shard.nulls)  # null keys are not in the index
-            # documents of a key that repeats follow its first
-            n = len(shard.keys)
-            first = np.arange(n)
-            same = np.zeros(n, dtype=bool)
-            same[1:] = (shard.keys[1:] == shard.keys[:-1]) & (np.arange(1, n) > shard.nulls)
-            first[same] = 0
-            at = found.astype(np.int64) + np.arange(n) - np.maximum.accumulate(first)
+            mph, keys, starts = shard.whole()
+            n, nulls = shard.docs, shard.nulls
+            found, same = mph.find(keys)
+            place, begin, size = found["position"].astype(np.int64), found["offset"].astype(np.int64), found["ids"].astype(np.int64)
+            if not same[nulls:].all():
+                raise ValueError(f"shard {row['shard']}: a key is not in its index")
+            # documents of a key that repeats follow its first; null keys are not in the index
+            later = np.zeros(n, dtype=bool)
+            later[1:] = keys[1:] == keys[:-1]
+            later[:nulls] = True
+            place[:nulls] = np.arange(nulls)
+            first = np.maximum.accumulate(np.where(later, 0, np.arange(n)))
+            place = np.where(later & (np.arange(n) >= nulls), place + np.arange(n) - first, place)
+            begin[later], size[later] = starts[place[later]], (starts[1:] - starts[:-1])[place[later]]
             for k in range(0, n, 4096):
-                where = at[k : k + 4096]
-                crc = [zlib.crc32(shard.read(p).astype("<u4").tobytes()) for p in where.tolist()]
-                null = np.arange(k, k + len(where)) < shard.nulls
-                yield pa.RecordBatch.from_arrays([pa.array(shard.keys[where], mask=null), pa.array(shard.starts[where] + row["start"]), pa.array(shard.lengths[where]), pa.array(crc, type=pa.int64())], schema=RESULT)
+                where = slice(k, min(n, k + 4096))
+                crc = [zlib.crc32(shard._ids(a, m).astype("<u4").tobytes()) for a, m in zip(begin[where].tolist(), size[where].tolist(), strict=True)]
+                null = np.arange(k, where.stop) < nulls
+                yield pa.RecordBatch.from_arrays([pa.array(keys[where], mask=null), pa.array(begin[where] + row["start"]), pa.array(size[where]), pa.array(crc, type=pa.int64())], schema=RESULT)
 
     rows = manifest["shards"]
     if not rows:

@@ -73,3 +73,48 @@ def test_empty_table(spark, tmp_path):
     root = f"file://{tmp_path}/none"
     manifest = ts.write(documents(spark, AWKWARD).filter("false"), root, vocabulary, 2)
     assert manifest["shards"] == [] and ts.read_back(spark, root, manifest).count() == 0 and ts.Store(root).get(1) == []
+
+
+def test_a_lookup_reads_a_slot_and_no_table(tmp_path, spark, library, monkeypatch):
+    monkeypatch.setattr(ts, "LEAST_IDS", 3000)
+    root = f"file://{tmp_path}/many"
+    rows = [(7 * k, f"Doc {k} has words") for k in range(2500)] + [(7, "again")] * 40
+    manifest = ts.write(documents(spark, rows), root, vocabulary, 2)
+    assert len(manifest["shards"]) > 2
+    store = ts.Store(root)
+    assert store.get(7 * 2000)[0].tolist() == [*library.encode("Doc 2000 has words", add_special_tokens=False).ids, 2] and len(store.get(7)) == 41
+    assert [store.get(k) for k in (-1, 8, 7 * 2500, 10**12)] == [[], [], [], []]
+    shard = next(iter(store.opened.values()))
+    read, real = [], shard.index
+
+    class Counting:
+        def read_at(self, n, at):
+            read.append(n)
+            return real.read_at(n, at)
+
+    shard.index = Counting()
+    assert list(shard.get(store.shards[0]["first"] + 14)) or read
+    assert sum(read) <= ts.SLOT.itemsize + 16
+
+
+def test_a_vocabulary_that_splits_otherwise_goes_to_the_library(library, tmp_path):
+    spec = json.loads(library.to_str())
+    spec["normalizer"] = None  # case is kept, so words by their lower-cased letters would be wrong
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec))
+    encode = ts.WordEncoder(str(path))
+    assert encode.plain and not ts.WordEncoder(vocabulary).plain
+    t = "Some UPPER case Words"
+    assert np.frombuffer(encode(t), "<u2").tolist() == encode.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_nothing_is_left_of_a_failed_attempt(tmp_path):
+    import pyarrow.fs as pafs
+
+    def parts():
+        yield b"half"
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        ts._put(pafs.LocalFileSystem(), f"{tmp_path}/x.ids", parts())
+    assert os.listdir(tmp_path) == []
