@@ -78,3 +78,18 @@ def test_awkward_rows_and_many_shards(spark):
     same = [r["bin_id"] for r in got if r["doc_id"] == 10]
     assert len(same) == 2 and len(set(same)) == 2  # copies of one text
     assert packing.pack(documents(spark, data).filter("false")).count() == 0
+
+
+def test_near_copies_do_not_share_a_bin(spark):
+    rng = random.Random(7)
+    base = [f"w{k}" for k in range(300)]  # one edit leaves pairs at a similarity of 0.93 at least
+    edited = [" ".join(f"e{k}" if i == 7 * k else w for i, w in enumerate(base)) for k in range(40)]
+    data = [(k, t, "en", f"s{k}") for k, t in enumerate(edited)] + [(100 + k, " ".join(f"x{rng.randrange(10**6)}" for _ in range(300)), "en", f"s{100 + k}") for k in range(40)]
+    got = packing.pack(documents(spark, data), 2048, 8192).collect()
+    near = [r["bin_id"] for r in got if r["doc_id"] < 100]
+    assert len(set(near)) >= 36 and len({r["bin_id"] for r in got}) <= 40  # others fill the same bins
+
+
+def test_bands_of_equal_and_other_texts():
+    assert packing.bands("") == [] and packing.bands("A b c") == packing.bands("a  B c") and not set(packing.bands("a b c d e f")) & set(packing.bands("g h i j k l"))
+    assert len(packing.bands("one")) == packing.BANDS and len(packing.bands("word " * 100_000)) == packing.BANDS
