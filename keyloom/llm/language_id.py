@@ -4,21 +4,26 @@ Every byte position of the lower-cased UTF-8 text is labelled: the position's cl
 backward state. A document's probabilities are the mean over all its positions; the largest is its language and score. Texts
 go through the network in windows of STEPS bytes that cover each position once, many windows side by side.
 
+A window's states start from zero, so what stands more than STEPS bytes away says nothing about a position by itself; the pooling
+joins the windows.
+
 Learning: rows with a language whose crc32(doc_id as text) mod 4 is not 2. Of each language, however many there are,
-PER_LANGUAGE rows (chosen by a hash of their id, WINDOWS windows at hashed places of the whole text each) are learnt from; that
-sample, bounded for each language, is all that reaches the driver. The input is the text alone.
+PER_LANGUAGE rows (the first by a hash of their id and text, WINDOWS windows at hashed places of the whole text each) are learnt
+from; that sample, bounded for each language however often an id repeats, is all that reaches the driver. The input is the text alone.
 
 Defined results: `und` with score 0 for a null text or one without a letter, or if there was nothing to learn from. A null
-doc_id is not held out and not learnt from. Repeated rows are each answered. Other columns are ignored.
+doc_id is not held out and not learnt from. Very long texts are labelled whole, a bounded number of windows at a time. Repeated
+rows are each answered. An empty table teaches nothing and gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.llm.common import map_batches
@@ -191,7 +196,9 @@ def learn(docs: DataFrame) -> Network | None:
     if not counts:
         return None
     share = docs.sparkSession.createDataFrame([(k, int((1 << 30) * min(1.0, 1.3 * PER_LANGUAGE / n))) for k, n in counts.items()], "lang string, share bigint")
-    picked = known.join(F.broadcast(share), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share")).select("doc_id", "text", "lang")
+    picked = known.join(F.broadcast(share), "lang").filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.col("share"))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id")  # of what the share has left
+    picked = picked.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= PER_LANGUAGE).select("doc_id", "text", "lang")
 
     def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -249,12 +256,19 @@ def identify(docs: DataFrame, network: Network | None) -> DataFrame:
     return map_batches(rows, f, "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, network: Network | None, least: float) -> DataFrame:
-    """Documents with a language and a score of `least` or more, columns as they are."""
-    where = docs.columns.index("text")
+def keep_identified(docs: DataFrame, network: Network | None, least: float, wanted: frozenset[str] | None = None) -> DataFrame:
+    """Documents with a language (one of those wanted, if any are named) and a score of `least` or more.
+
+    Columns are as they are, but that a null lang becomes the language found.
+    """
+    where, label = docs.columns.index("text"), docs.columns.index("lang") if "lang" in docs.columns else None
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         lang, score = predict(batch.column(where).to_pylist(), network)
-        return batch.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(lang, score, strict=True)]))
+        keep = pa.array([x != UNKNOWN and s >= least and (wanted is None or x in wanted) for x, s in zip(lang, score, strict=True)])
+        arrays = list(batch.columns)
+        if label is not None and arrays[label].null_count:
+            arrays[label] = pc.coalesce(arrays[label], pa.array(lang, arrays[label].type))
+        return pa.RecordBatch.from_arrays(arrays, schema=batch.schema).filter(keep)
 
     return map_batches(docs, f, docs.schema)

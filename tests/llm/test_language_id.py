@@ -106,3 +106,21 @@ def test_nothing_to_learn_from(spark):
     assert li.learn(docs) is None
     assert {r["lang_pred"] for r in li.identify(docs, None).collect()} == {"und"}
     assert li.learn(docs.filter("false")) is None and li.identify(docs.filter("false"), None).count() == 0
+
+
+def test_wanted_languages_and_labels(spark, monkeypatch):
+    train = [(k, ("the cat and the dog " if k % 2 else "der hund und die katze ") * 5, "en" if k % 2 else "de") for k in range(200, 260)]
+    docs = documents(spark, [*train, (300, "the cat and the dog " * 4, None), (301, "der hund und die katze " * 4, None), (302, "123", None), (303, None, "en")])
+    network = li.learn(docs)
+    kept = {r["doc_id"]: r["lang"] for r in li.keep_identified(docs, network, 0.4).collect()}
+    assert kept[300] == "en" and kept[301] == "de" and 302 not in kept and 303 not in kept and len(kept) == 62
+    german = {r["doc_id"]: r["lang"] for r in li.keep_identified(docs, network, 0.4, frozenset(["de"])).collect()}
+    assert set(german.values()) == {"de"} and 301 in german and 300 not in german
+
+
+def test_a_repeated_id_does_not_widen_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(li, "PER_LANGUAGE", 5)
+    seen = []
+    monkeypatch.setattr(li.Network, "train", lambda self, x, y, weight: seen.append(len(x)))
+    li.learn(documents(spark, [(200, f"text number {k} with words", "en") for k in range(400)]))
+    assert seen == [5 * li.WINDOWS]
