@@ -1,6 +1,11 @@
 """Language ID, near-dedup, benchmark decontamination, PII and packing, in this order, over whole documents.
 
-Each stage takes the documents its predecessor kept. All but the last return the columns of documents.
+Each stage takes the documents its predecessor kept. All but the last return the columns of documents, others than those too.
+
+Nulls: a document without text, or without a letter, goes with the first stage, as it has no language. A null lang becomes the language
+found; a null doc_id is linked with nothing and stays; a null source conflicts with none. Rows that repeat: of equal or near-equal
+texts the first stays, different texts under one doc_id all stay. Very long texts are read whole and packed in several pieces. An
+empty documents table gives an empty result, an empty benchmark removes nothing.
 """
 
 from __future__ import annotations
@@ -12,12 +17,14 @@ from keyloom.llm.common import Workspace, table
 
 #: Documents that fit no learnt language go. Low, so that short or mixed but clean documents stay: with four languages chance scores 0.25.
 LEAST_SCORE = 0.3
+#: Languages that are wanted; None for all that are learnt. Documents of others go.
+WANTED: frozenset[str] | None = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or in no learnt language, go."""
+    """Documents without a letter, in no learnt language or in none that is wanted, go; the others have their language."""
     network = language_id.learn(docs)
-    return docs if network is None else language_id.keep_identified(docs, network, LEAST_SCORE)
+    return docs if network is None else language_id.keep_identified(docs, network, LEAST_SCORE, WANTED)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +49,7 @@ def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", identify_language), ("near_dedup", drop_near_duplicates), ("decontaminate", remove_benchmark), ("pii", redact_pii), ("packing", pack_bins)]
 
-#: Learnt models and packing have no SQL form; tests hold each stage against a brute-force version.
+#: Learnt models and packing have no SQL form; a test holds all five stages against brute-force versions.
 ORACLE_SQL = None
 
 
