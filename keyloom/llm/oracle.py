@@ -13,7 +13,7 @@ def _op1() -> str:
         f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}={said}'" for said, h, p in sorted(url_filter.RULES, key=lambda r: -len(r[1] + r[2]))
     )
     two = ", ".join(f"'{x}'" for x in url_filter.TWO_LABEL_SUFFIXES)
-    last = lambda n: f"list_aggregate(list_slice(string_split(host, '.'), -{n}, -1), 'string_agg', '.')"
+    last = lambda n: f"list_aggregate(list_slice(string_split(name, '.'), -{n}, -1), 'string_agg', '.')"
 
     def strength(name: str, table: str, m: str) -> str:
         return (
@@ -25,7 +25,8 @@ def _op1() -> str:
 r AS (SELECT page_id, host, path, CASE {fits} END AS fit, TRY_CAST(nullif(regexp_extract(path, '^/[^/]+/([0-9]{{1,18}})(?:/|\\.html)?$', 1), '') AS BIGINT) AS url_id FROM u),
 o AS (SELECT doc_id, sum(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END) AS good, count(*) AS n FROM labels WHERE doc_id IS NOT NULL AND (quality = 1 AND toxic = 0) IS NOT NULL GROUP BY 1),
 h AS (SELECT host, CAST(coalesce(sum(good), 0) AS DOUBLE) AS good, CAST(coalesce(sum(n), 0) AS DOUBLE) AS n FROM r LEFT JOIN o ON r.url_id = o.doc_id GROUP BY 1),
-hd AS (SELECT host, good, n, CASE WHEN {last(2)} IN ({two}) THEN {last(3)} ELSE {last(2)} END AS domain, CASE WHEN {last(2)} IN ({two}) THEN {last(2)} ELSE {last(1)} END AS suffix FROM h),
+hn AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\\.+$', '') AS name FROM h),
+hd AS (SELECT host, good, n, CASE WHEN regexp_matches(name, '{url_filter.NUMERIC}') THEN name WHEN {last(2)} IN ({two}) THEN {last(3)} ELSE {last(2)} END AS domain, CASE WHEN regexp_matches(name, '{url_filter.NUMERIC}') THEN name WHEN {last(2)} IN ({two}) THEN {last(2)} ELSE {last(1)} END AS suffix FROM hn),
 d AS (SELECT domain, suffix, sum(good) AS good, sum(n) AS n FROM hd GROUP BY 1, 2), s AS (SELECT suffix, sum(good) AS good, sum(n) AS n FROM d GROUP BY 1),
 root AS (SELECT (sum(good) + 1) / (sum(n) + 2) AS m0 FROM s), sr AS (SELECT s.*, m0 FROM s, root), {strength("s1", "sr", "m0")},
 sm AS (SELECT suffix, (s * m0 + good) / (s + n) AS m1 FROM sr, s1), ds AS (SELECT d.*, m1 FROM d JOIN sm USING (suffix)), {strength("s2", "ds", "m1")},

@@ -11,7 +11,8 @@ rows costs no more than any other; the verdicts of hosts are joined back by broa
 of them, and by a salted join beyond.
 
 Defined results: a null url, or one without "://", has empty host and path, fits no rule and is judged as a host without
-labels. Labels that repeat are outcomes of their own. Null labels are no outcomes. Without any labels the prior is 1/2.
+labels. Very long urls are split whole. Labels that repeat are outcomes of their own, pages that repeat are each judged. Null labels are
+no outcomes. Without any labels the prior is 1/2. Empty pages give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from keyloom.llm.common import Workspace
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 #: Suffixes of two labels under which names are registered.
 TWO_LABEL_SUFFIXES = ["ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "com.cn", "gov.uk", "org.uk"]
+#: Numeric addresses, of four numbers or in brackets.
+NUMERIC = r"^([0-9]+(\.[0-9]+){3}|\[.*\])$"
 Z, LEAST_GOOD = 1.645, 0.5
 #: Strength of a prior where the spread of rates cannot be told.
 DEFAULT_STRENGTH, MAX_STRENGTH = 10.0, 1000.0
@@ -51,10 +54,12 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]] = RULE
 
 
 def domain_of(host: Column) -> tuple[Column, Column]:
-    """Registered domain and public suffix."""
-    last2 = F.substring_index(host, ".", -2)
-    suffix = F.when(last2.isin(TWO_LABEL_SUFFIXES), last2).otherwise(F.substring_index(host, ".", -1))
-    return F.when(last2.isin(TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(last2), suffix
+    """Registered domain and public suffix of a host, without user, port and closing dots. A numeric address is its own domain and suffix."""
+    name = F.regexp_replace(F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", ""), r"\.+$", "")
+    address = F.regexp_like(name, F.lit(NUMERIC))
+    last2 = F.substring_index(name, ".", -2)
+    suffix = F.when(address, name).when(last2.isin(TWO_LABEL_SUFFIXES), last2).otherwise(F.substring_index(name, ".", -1))
+    return F.when(address, name).when(last2.isin(TWO_LABEL_SUFFIXES), F.substring_index(name, ".", -3)).otherwise(last2), suffix
 
 
 def strength(counts: DataFrame, mean: Column) -> float:

@@ -60,3 +60,10 @@ def test_beyond_the_broadcast_bound(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(u, "BROADCAST_HOSTS", 0)
     assert sorted(map(tuple, read().collect()), key=repr) == want
     assert u.judge(spark.read.parquet(f"{sf_dir}/pages.parquet").filter("false"), u.outcomes_of(spark.read.parquet(f"{sf_dir}/labels.parquet"))).count() == 0
+
+
+def test_domains_of_odd_hosts(spark):
+    hosts = {"a.example.com:8080": ("example.com", "com"), "user:pw@x.example.co.uk": ("example.co.uk", "co.uk"), "example.org.": ("example.org", "org"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"), "[::1]:443": ("[::1]", "[::1]"), "localhost": ("localhost", "localhost"), "": ("", "")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = {r["host"]: (r["d"], r["s"]) for r in df.select("host", *(c.alias(n) for c, n in zip(u.domain_of(df["host"]), "ds"))).collect()}
+    assert got == hosts
