@@ -20,3 +20,13 @@ def test_nothing_else_imports_the_subpackage():
             for name in (n for n in names if n.endswith(".py")):
                 with open(os.path.join(folder, name)) as f:
                     assert "llm" not in f.read(), name
+
+
+def test_a_broken_subpackage_is_not_passed_over(tmp_path):
+    shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    os.makedirs(tmp_path / "repo/keyloom/llm")
+    (tmp_path / "repo/keyloom/llm/__init__.py").write_text("")
+    (tmp_path / "repo/keyloom/llm/queries.py").write_text("import a_module_that_is_not_there\n")
+    (tmp_path / "repo/corpus_pipeline.py").write_text("")
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path / "repo", env={**os.environ, "PYTHONPATH": str(tmp_path / "repo")}, capture_output=True, text=True)
+    assert done.returncode and "a_module_that_is_not_there" in done.stderr
