@@ -483,6 +483,20 @@ def kv_bucket_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wanted.join(there, ["bucket", "key"]).select(F.hex("key").alias("k"), F.col("value").alias("v"))
 
 
+@query(SQL_LATEST + "SELECT count(*) AS n, true AS ordered, min(k) AS \"first\", max(k) AS \"last\" FROM latest WHERE k >= '4000000000000000' AND k < '8000000000000000'")
+def kv_ordered_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range passed to a visitor on the driver in order, while the next partition is fetched; the driver keeps three keys of it."""
+    seen: dict[str, bytes | bool | None] = {"first": None, "last": None, "ordered": True}
+
+    def visit(key: bytes, value: bytes) -> None:
+        seen["ordered"] &= seen["last"] is None or seen["last"] < key
+        seen["first"], seen["last"] = seen["first"] or key, key
+
+    n = _store(spark, sf_dir).range(LOW, HIGH, visit)
+    shown = [x.hex().upper() if x else None for x in (seen["first"], seen["last"])]
+    return spark.createDataFrame([(n, bool(seen["ordered"]), *shown)], "n bigint, ordered boolean, first string, last string")
+
+
 @query(SQL_LATEST + "SELECT k, v, count(*) OVER () AS n FROM latest WHERE k >= '4000000000000000' AND k < '8000000000000000'")
 def kv_cached_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of a range, held in the executors' memory and read twice: once to count them, once to show them."""
