@@ -274,6 +274,7 @@ def _put(fs: pafs.FileSystem, path: str, parts: Iterator[bytes]) -> None:
     fs.move(own, path)
 
 
+LEFT_OVER = re.compile(r"\.(?:ids|mph)\.[0-9a-f]{32}$")
 SHARD = "shard int, first bigint, last bigint, docs bigint, ids bigint"
 
 
@@ -333,6 +334,9 @@ def write(docs: DataFrame, root: str, vocabulary: str, end_id: int) -> dict:
     dealt = staged.repartitionByRange(shards, "doc_id", split).sortWithinPartitions("doc_id", split)
     rows = sorted((r.asDict() for r in dealt.mapInArrow(task, SHARD).collect()), key=lambda r: r["shard"])  # one row a task
     work.drop("encoded")
+    for f in fs.get_file_info(pafs.FileSelector(base)):
+        if LEFT_OVER.search(f.base_name):  # of executors that were lost
+            fs.delete_file(f.path)
     start = 0
     for r in rows:
         r["start"], start = start, start + r["ids"]
