@@ -216,7 +216,7 @@ def kv_order_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spark.read.parquet(store.files.uri(f"snapshot/{name}/rows")).select("key", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
     sizes = found.groupBy("file").agg(F.count("*").alias("n"))  # a row a file
     starts = sizes.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("start"))
-    stored = found.join(F.broadcast(starts), "file").select("key", (F.col("start") + F.col("at")).alias("pos"))
+    stored = found.join(starts, "file").select("key", (F.col("start") + F.col("at")).alias("pos"))
     arrived = views.ranked(events_log(spark, sf_dir).select("key", "seq"), F.col("seq"), ["seq"]).select("key", "pos")
     both = {"snapshot": stored, "arrival": arrived}
     return reduce(DataFrame.unionByName, [checks.order_violations(rows).select(F.lit(what).alias("what"), "violations", "n") for what, rows in both.items()])

@@ -84,7 +84,13 @@ def _write_by_shard(rows: DataFrame, folder: str, prefix: str, put: Callable, en
         yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in counts], pa.int64()), pa.array([n for _, n in counts], pa.int64())], names=["shard", "n"])
 
     dealt = rows.repartition("shard").sortWithinPartitions("shard", "seq")
-    return sorted((r["shard"], r["n"]) for r in dealt.mapInArrow(write, "shard bigint, n bigint").collect())  # one row a shard
+    done = sorted((r["shard"], r["n"]) for r in dealt.mapInArrow(write, "shard bigint, n bigint").collect())  # one row a shard
+    fs, base = folder_of(folder)
+    fs.create_dir(base)
+    for f in fs.get_file_info(pafs.FileSelector(base)):
+        if f.base_name.startswith(f".{prefix}-"):  # of executors that were lost
+            fs.delete_file(f.path)
+    return done
 
 
 def write_records(log: DataFrame, folder: str, bits: int = SHARD_BITS, grow: int = 0) -> list[tuple[int, int]]:
