@@ -4,7 +4,8 @@ Words are the longest runs of letters, digits and non-ASCII characters, A-Z lowe
 of an item; an item of fewer words, but not none, is one window. A document word inside an occurrence of a window is hit.
 
 The benchmark is measured before it is collected. Up to BROADCAST_CHARS characters of item text are broadcast as sorted arrays
-of window hashes with places in the items' words (about 5 bytes a character); a hit counts if the words themselves agree. More
+of window hashes with places in the items' words (about 5 bytes a character) and a table of the items' different words (100 bytes or
+so each), 200 MB in a worker at the very most; a hit counts if the words themselves agree. More
 text is never gathered: a bit filter of FILTER_BITS, the same size for any benchmark, picks the document windows that can be
 hits, and these are joined with the table of windows by two independent 64-bit hashes. So no executor's memory grows with the
 benchmark. A join's hot window (in very many documents or items) is one that Spark splits.
@@ -33,7 +34,7 @@ WINDOW = 8
 #: A document with windows of so many items is contaminated.
 MIN_ITEMS = 2
 #: Characters of item text that are broadcast at most.
-BROADCAST_CHARS = 8_000_000
+BROADCAST_CHARS = 4_000_000
 #: Bits of the filter beyond that (16 MB), two of which a window sets.
 FILTER_BITS = 1 << 27
 SCHEMA = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
@@ -86,7 +87,7 @@ class Index:
         self.edge = np.concatenate([np.zeros(1, dtype=np.int64), edge])  # of the words in text, each with a blank behind it
         self.text = b"".join(w + b" " for w in flat)
         h = self.hashes.words(flat)
-        self.vocabulary, self.known = np.unique(h), {}
+        self.vocabulary = dict(zip(flat, h.tolist(), strict=True))  # words that no item has need no hash
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for n in sorted({min(window, int(x)) for x in size if x}):
             of = np.flatnonzero(size >= window if n == window else size == n)
@@ -96,25 +97,12 @@ class Index:
             order = np.argsort(key, kind="stable")
             self.by_length[n] = key[order], item[order], at[order]
 
-    def of_words(self, found: list[bytes]) -> np.ndarray:
-        """Hashes of words, 0 for those that no item has."""
-        known = self.known
-        if len(known) > self.hashes.bound:
-            known.clear()
-        out = list(map(known.get, found))
-        if None in out:
-            new = list({found[i] for i, h in enumerate(out) if h is None})
-            h = np.array(list(map(xxhash.xxh3_64_intdigest, new)), dtype=np.uint64)
-            at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
-            known.update(zip(new, np.where(self.vocabulary[at] == h, h, np.uint64(0)).tolist(), strict=True))
-            out = list(map(known.get, found))
-        return np.array(out, dtype=np.uint64)
-
     def scan(self, found: list[bytes], hit: np.ndarray, got: set[str]) -> None:
         """Mark the hit words of one document and gather the items whose windows occur in it."""
         if not found or not self.by_length:
             return
-        h = self.of_words(found)
+        get = self.vocabulary.get
+        h = np.array([get(w, 0) for w in found], dtype=np.uint64)
         run = np.concatenate([[0], np.cumsum(h != 0)])
         for n, (keys, item, at) in self.by_length.items():
             if len(found) < n:

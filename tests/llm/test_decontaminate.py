@@ -53,7 +53,7 @@ def test_beyond_the_broadcast_bound_the_same(spark, sf_dir, monkeypatch):
     assert sorted((tuple(r) for r in got), key=repr) == plain(docs, ITEMS)
     clean = d.decontaminate(documents(spark, docs), items_of(spark, ITEMS))
     assert clean.schema == documents(spark, docs).schema
-    monkeypatch.setattr(d, "BROADCAST_CHARS", 8_000_000)
+    monkeypatch.setattr(d, "BROADCAST_CHARS", 4_000_000)
     want = d.decontaminate(documents(spark, docs), items_of(spark, ITEMS)).collect()
     assert sorted(map(repr, clean.collect())) == sorted(map(repr, want))
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
