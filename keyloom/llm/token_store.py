@@ -12,10 +12,11 @@ number of its ids. An opened shard reads its header and bit fields (about four b
 A key that a shard lacks is told by its fingerprint (32 bits: one absent key in 4 billion passes) and then by the key table, so an
 answer is never wrong.
 
-Texts are encoded where they are read; ids are staged and dealt by ranges of keys, never texts. There are about SHARDS shards,
-fewer or more if they would have less than LEAST_IDS or more than MOST_IDS ids, whatever the session's settings. A shard is one task's range; it is written under a name of the attempt's own and
-then moved, so a task that is run again after the loss of an executor replaces its file whole, and what a failed attempt wrote is
-deleted. Only one line a shard goes to the driver.
+Texts are encoded where they are read; ids are dealt by ranges of keys, once, never texts. There are about SHARDS shards, fewer or
+more if they would have less than LEAST_IDS or more than MOST_IDS ids (about CHARS_AN_ID characters make one), whatever the
+session's settings; their bounds are quantiles of the keys. A key on very many rows is dealt to several shards. A shard is written
+by one task under a name of the attempt's own and then moved, so a task that is run again after the loss of an executor replaces its
+file whole, and what a failed attempt wrote is deleted. Only one line a shard goes to the driver.
 
 Defined results: a null text is empty (its end id remains). Very long texts and words are encoded whole; words of over LONGEST_KEPT
 characters are not kept in the cache. Keys that repeat are kept, all of them, next to each other; the index gives the first and
@@ -34,19 +35,21 @@ import zlib
 from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import Workspace, map_batches, mix64, small_batches, texts
+from keyloom.llm.common import map_batches, mix64, small_batches, texts
 
 NO_POSITION = 0xFFFFFFFFFFFFFFFF
-#: Shards of a table, of LEAST_IDS to MOST_IDS ids each (2 to 256 MB at 2 bytes); levels of an index at most.
-SHARDS, LEAST_IDS, MOST_IDS, MAX_LEVELS = 1024, 1_000_000, 128_000_000, 64
+#: Shards of a table, of LEAST_IDS to MOST_IDS ids each (4 MB to 1 GB at 2 bytes); levels of an index at most.
+SHARDS, LEAST_IDS, MOST_IDS, CHARS_AN_ID, MAX_LEVELS = 1024, 2_000_000, 512_000_000, 3, 64
+LOWEST = -(1 << 63)
 #: Characters of a word that is kept for the next time it comes.
 LONGEST_KEPT = 64
 SLOT = np.dtype([("fingerprint", "<u4"), ("position", "<u8"), ("offset", "<u8"), ("ids", "<u8")])
@@ -275,65 +278,82 @@ def _put(fs: pafs.FileSystem, path: str, parts: Iterator[bytes]) -> None:
 
 
 LEFT_OVER = re.compile(r"\.(?:ids|mph)\.[0-9a-f]{32}$")
-SHARD = "shard int, first bigint, last bigint, docs bigint, ids bigint"
+SHARD = "shard bigint, first bigint, last bigint, docs bigint, ids bigint"
 
 
-def encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """doc_id and ids (bytes, the end id last), where the texts are."""
+def bounds_of(docs: DataFrame) -> np.ndarray:
+    """Keys between the shards, ascending: quantiles of the keys themselves, as many as the texts' size asks for. A key on many rows repeats."""
+    key = F.coalesce("doc_id", F.lit(LOWEST))
+    chars = docs.agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("n")).first()
+    ids = (chars["chars"] or 0) // CHARS_AN_ID + chars["n"]
+    shards = max(1, -(-ids // min(MOST_IDS, max(LEAST_IDS, ids // SHARDS))))
+    found = docs.agg(F.percentile_approx(key, [k / shards for k in range(1, shards)], 4 * max(2500, shards)).alias("b")).first()["b"] if shards > 1 else None
+    return np.array(sorted(found or []), dtype=np.int64)
+
+
+def encoded(docs: DataFrame, vocabulary: str, end_id: int, bounds: np.ndarray) -> DataFrame:
+    """shard, doc_id, split (a hash that orders the rows of one key) and ids (bytes, the end id last), where the texts are."""
+    shared = docs.sparkSession.sparkContext.broadcast(bounds)
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         encode = encoder(vocabulary)
         end = np.array([end_id], dtype=f"<u{encode.width}").tobytes()
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([encode(t) + end for t in texts(batch)], pa.binary())], names=["doc_id", "ids"])
+        ids = [encode(t) + end for t in texts(batch)]
+        split = np.array([xxhash.xxh3_64_intdigest(x) >> 1 for x in ids], dtype=np.int64)
+        keys = np.array([LOWEST if k is None else k for k in batch.column("doc_id").to_pylist()], dtype=np.int64)
+        low, high = (np.searchsorted(shared.value, keys, side=side) for side in ("left", "right"))
+        shard = low + ((split >> 31) * (high - low + 1) >> 32)  # a key that is several bounds is dealt to the shards between them, in the order of the hash
+        return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), batch.column("doc_id"), pa.array(split), pa.array(ids, pa.binary())], names=["shard", "doc_id", "split", "ids"])
 
-    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_batches(slim, f, "doc_id bigint, ids binary")
+    return map_batches(docs, f, "shard bigint, doc_id bigint, split bigint, ids binary")
 
 
 def write(docs: DataFrame, root: str, vocabulary: str, end_id: int) -> dict:
     """Encode every text and write the shards; returns the manifest."""
-    spark, work = docs.sparkSession, Workspace(docs.sparkSession, "ids")
+    spark = docs.sparkSession
     small_batches(spark)
     fs, base = _folder(root)
     fs.create_dir(base)
     width = encoder(vocabulary).width
-    staged = work.stage(encoded(docs, vocabulary, end_id), "encoded")
-    total = staged.agg(F.sum(F.length("ids"))).first()[0] or 0
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, (fs, base) = TaskContext.get().partitionId(), _folder(root)
-        keys, lengths = [], []
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    bounds = bounds_of(docs)
 
-        def payload() -> Iterator[bytes]:
-            for batch in batches:
-                keys.extend(batch.column("doc_id").to_pylist())
-                raw = batch.column("ids").to_pylist()
-                lengths.extend(len(x) // width for x in raw)
-                yield b"".join(raw)
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+        for batch in batches:
+            shard = batch.column("shard").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            yield from ((int(shard[a]), batch.slice(a, b - a)) for a, b in zip(edges, edges[1:], strict=False) if a < b)
 
-        name = f"{base}/shard-{shard:05d}"
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = _folder(root)
         fs.create_dir(base)
-        _put(fs, f"{name}.ids", payload())
-        if not keys:
-            fs.delete_file(f"{name}.ids")
-            return
-        nulls = sum(k is None for k in keys)
-        real = np.array(keys[nulls:], dtype=np.int64)
-        starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], real[1:] != real[:-1]])) if len(real) else np.zeros(0, dtype=np.int64)
-        at = first + nulls
-        mph = Mph.build(real[first], at, starts[at], starts[at + 1] - starts[at])
-        table = struct.pack("<QQ", len(keys), nulls) + np.concatenate([np.zeros(nulls, dtype=np.int64), real]).astype("<i8").tobytes() + starts.astype("<i8").tobytes()
-        _put(fs, f"{name}.mph", iter([mph.to_bytes(), table]))
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "first": [int(real[0]) if len(real) else None], "last": [int(real[-1]) if len(real) else None], "docs": [len(keys)], "ids": [sum(lengths)]}, schema=pa.schema([("shard", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64())]))
-
-    # a hash splits the rows of one key, should it repeat very often
-    split = F.xxhash64("ids")
-    each = min(MOST_IDS, max(LEAST_IDS, int(total) // width // SHARDS))
-    shards = max(1, -(-int(total) // (width * each)))
-    dealt = staged.repartitionByRange(shards, "doc_id", split).sortWithinPartitions("doc_id", split)
-    rows = sorted((r.asDict() for r in dealt.mapInArrow(task, SHARD).collect()), key=lambda r: r["shard"])  # one row a task
-    work.drop("encoded")
+        for shard, some in groupby(pieces(batches), key=lambda x: x[0]):
+            keys, lengths, nulls = array("q"), array("q"), 0
+
+            def payload() -> Iterator[bytes]:
+                nonlocal nulls
+                for _, batch in some:  # noqa: B023  used before the next shard
+                    column, raw = batch.column("doc_id"), batch.column("ids").to_pylist()
+                    nulls += column.null_count
+                    keys.extend(column.fill_null(0).to_pylist())  # noqa: B023
+                    lengths.extend(len(x) // width for x in raw)  # noqa: B023
+                    yield b"".join(raw)
+
+            name = f"{base}/shard-{shard:06d}"
+            _put(fs, f"{name}.ids", payload())
+            every = np.array(keys, dtype=np.int64)
+            real = every[nulls:]
+            starts = np.concatenate([[0], np.cumsum(np.array(lengths, dtype=np.int64))]).astype(np.int64)
+            first = np.flatnonzero(np.concatenate([[True], real[1:] != real[:-1]])) if len(real) else np.zeros(0, dtype=np.int64)
+            at = first + nulls
+            mph = Mph.build(real[first], at, starts[at], starts[at + 1] - starts[at])
+            table = struct.pack("<QQ", len(every), nulls) + every.astype("<i8").tobytes() + starts.astype("<i8").tobytes()
+            _put(fs, f"{name}.mph", iter([mph.to_bytes(), table]))
+            row = {"shard": [shard], "first": [int(real[0]) if len(real) else None], "last": [int(real[-1]) if len(real) else None], "docs": [len(every)], "ids": [int(starts[-1])]}
+            yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("shard", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64())]))
+
+    dealt = encoded(docs, vocabulary, end_id, bounds).repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "doc_id", "split")
+    rows = sorted((r.asDict() for r in dealt.mapInArrow(task, SHARD).collect()), key=lambda r: r["shard"])  # one row a shard
     for f in fs.get_file_info(pafs.FileSelector(base)):
         if LEFT_OVER.search(f.base_name):  # of executors that were lost
             fs.delete_file(f.path)
@@ -350,7 +370,7 @@ class Shard:
 
     def __init__(self, root: str, manifest: dict, shard: dict) -> None:
         fs, base = _folder(root)
-        name = f"{base}/shard-{shard['shard']:05d}"
+        name = f"{base}/shard-{shard['shard']:06d}"
         self.width, self.index, self.file = manifest["bytes"], fs.open_input_file(f"{name}.mph"), fs.open_input_file(f"{name}.ids")
         levels, words, n = Mph.header(self.index.read_at(HEADER, 0))
         fields = self.index.read_at(8 * (levels + words), HEADER)
@@ -427,6 +447,7 @@ def read_back(spark: SparkSession, root: str, manifest: dict) -> DataFrame:
             # documents of a key that repeats follow its first; null keys are not in the index
             later = np.zeros(n, dtype=bool)
             later[1:] = keys[1:] == keys[:-1]
+            later[nulls : nulls + 1] = False  # whatever the nulls' place holders are
             later[:nulls] = True
             place[:nulls] = np.arange(nulls)
             first = np.maximum.accumulate(np.where(later, 0, np.arange(n)))
@@ -441,6 +462,6 @@ def read_back(spark: SparkSession, root: str, manifest: dict) -> DataFrame:
     rows = manifest["shards"]
     if not rows:
         return spark.createDataFrame([], "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
-    shards = spark.createDataFrame([(r["shard"], r["start"]) for r in rows], "shard int, start bigint").repartition(len(rows), "shard")
+    shards = spark.createDataFrame([(r["shard"], r["start"]) for r in rows], "shard bigint, start bigint").repartition(len(rows), "shard")
     manifest = {"bytes": manifest["bytes"]}  # all that the tasks need of it
     return shards.mapInArrow(task, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

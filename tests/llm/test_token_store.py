@@ -93,8 +93,21 @@ def test_a_lookup_reads_a_slot_and_no_table(tmp_path, spark, library, monkeypatc
             return real.read_at(n, at)
 
     shard.index = Counting()
-    assert list(shard.get(store.shards[0]["first"] + 14)) or read
-    assert sum(read) <= ts.SLOT.itemsize + 16
+    assert len(list(shard.get(7 * 2000))) == 1 and sum(read) <= ts.SLOT.itemsize + 16  # the slot, the key and its neighbour
+
+
+def test_a_key_on_many_rows_is_dealt_to_several_shards(tmp_path, spark, library, monkeypatch):
+    monkeypatch.setattr(ts, "LEAST_IDS", 1000)
+    root = f"file://{tmp_path}/hot"
+    rows = [(k, f"own text {k}") for k in range(300)] + [(150, f"text {k} under one key") for k in range(1500)] + [(None, f"no key {k}") for k in range(600)]
+    manifest = ts.write(documents(spark, rows), root, vocabulary, 2)
+    assert sum(s["first"] is not None and s["first"] <= 150 <= s["last"] for s in manifest["shards"]) > 2 and max(s["docs"] for s in manifest["shards"]) < 1200
+    got = ts.read_back(spark, root, manifest).orderBy("start").collect()
+    want, total = plain(rows, library)
+    assert sorted(((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got), key=repr) == sorted(want, key=repr)
+    assert [r["doc_id"] for r in got] == [w[0] for w in want]
+    assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1]]
+    assert len(ts.Store(root).get(150)) == 1501
 
 
 def test_a_vocabulary_that_splits_otherwise_goes_to_the_library(library, tmp_path):
